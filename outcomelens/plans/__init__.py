@@ -1,4 +1,4 @@
-from . import segments  # noqa: F401
+from . import evaluation, preparation, profiling, reduction, segments  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
