@@ -30,12 +30,12 @@ def share_pct(flag: Column, digits: int | None = 2) -> Column:
 def safe_corr(a: Column | str, b: Column | str) -> Column:
     """Pearson correlation over the rows where both are present; null if either is constant there.
 
-    ``corr`` itself raises a division error on a constant column in ANSI mode.
+    ``corr`` itself raises a division error on a constant column in ANSI mode. ``regr_r2`` does not: it is null for a
+    constant ``b`` and 1 for a constant ``a``, which the zero covariance tells apart from a perfect fit.
     """
     a, b = _col(a).cast("double"), _col(b).cast("double")
-    a_paired = F.when(b.isNotNull(), a)
-    b_paired = F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a_paired) * F.stddev_pop(b_paired))
+    squared, together = F.regr_r2(a, b), F.covar_pop(a, b)
+    return F.when(~((squared == 1) & (together == 0)), F.signum(together) * F.sqrt(squared))
 
 
 def missing(column: Column | str, dtype=None) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 from ..config import quoted
 from ..functions.stats import safe_corr
 
-PAIRS_PER_PASS = 500
-
 
 def corr_scalars(df: DataFrame, pairs: dict[str, tuple[str, str]], digits: int = 4) -> DataFrame:
     """Several correlations in one row, each over the rows where its two columns are present."""
@@ -22,49 +19,60 @@ def corr_scalars(df: DataFrame, pairs: dict[str, tuple[str, str]], digits: int =
     ])
 
 
-def corr_pairs(
-    df: DataFrame, columns: Sequence[str], target: str | None = None, pairs_per_pass: int = PAIRS_PER_PASS
-) -> DataFrame:
-    """(feature_1, feature_2, r, target_r_1, target_r_2) for every unordered pair.
+def pair_facts(df: DataFrame, pairs: Sequence[tuple[str, str]], counted: Sequence[str] = ()) -> DataFrame:
+    """One row: ``r``, the correlation of each pair in order, then ``row_count`` and ``nulls`` of ``counted``.
 
-    One aggregate holds up to ``pairs_per_pass`` correlations, so a table of ~30 numeric columns needs one scan. The
-    two last columns are each feature's correlation with ``target`` (null without one), taken from the same
-    aggregate.
+    Each record is spread over its pairs inside the task and merged there by pair, so one scan serves any number of
+    pairs, the generated code does not grow with them and only (pair, moments) rows are shuffled.
     """
-    columns = list(columns)
-    pairs = list(combinations(columns, 2))
-    passes = [pairs[i:i + pairs_per_pass] for i in range(0, len(pairs), pairs_per_pass)]
-    return reduce(DataFrame.unionByName, [_one_pass(df, chunk, target) for chunk in passes])
+    x_y = [(F.col(quoted(a)).cast("double"), F.col(quoted(b)).cast("double")) for a, b in pairs]
+    flags = [(F.when(F.col(quoted(c)).isNull(), 1.0), F.lit(None).cast("double")) for c in counted]
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("i"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate([*x_y, *flags])
+    ])
+    per_cell = df.select(F.inline(cells)).groupBy("i").agg(
+        F.count("*").alias("row_count"), F.count("x").alias("present"), safe_corr("x", "y").alias("r"))
+    cell = F.sort_array(F.collect_list(F.struct("i", "row_count", "present", "r")))  # one element per pair or column
+    row = per_cell.agg(cell.alias("cell"))
+    return row.select(
+        F.slice("cell.r", 1, len(pairs)).alias("r") if pairs else F.array().cast("array<double>").alias("r"),
+        F.coalesce(F.get("cell.row_count", 0), F.lit(0)).alias("row_count"),
+        F.slice("cell.present", len(pairs) + 1, max(len(counted), 1)).alias("nulls"),
+    )
 
 
-def _one_pass(df: DataFrame, pairs: list[tuple[str, str]], target: str | None) -> DataFrame:
-    features = list(dict.fromkeys(f for pair in pairs for f in pair))
-    with_target = {f: f"_t{i}" for i, f in enumerate(features) if target and f != target}
-    wide = df.agg(
-        *[safe_corr(quoted(a), quoted(b)).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)],
-        *[safe_corr(quoted(f), quoted(target)).alias(place) for f, place in with_target.items()],
-    )
+def corr_pairs(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:
+    """(feature_1, feature_2, r, target_r_1, target_r_2) for every unordered pair, in one scan.
+
+    The two last columns are each feature's correlation with ``target`` (null without one).
+    """
+    pairs = list(combinations(columns, 2))
+    with_target = [(f, target) for f in columns if target and f != target]
+    place = {pair: i for i, pair in enumerate(pairs)}
+    extra = [p for p in with_target if p not in place and p[::-1] not in place]
+    place |= {pair: len(pairs) + i for i, pair in enumerate(extra)}
 
-    def target_r(f):
-        return F.col(with_target[f]) if f in with_target else F.lit(None).cast("double")
+    def r(a, b):
+        index = place.get((a, b), place.get((b, a)))
+        return F.lit(None).cast("double") if index is None else F.get("r", F.lit(index))
 
     cells = [
         F.struct(
-            F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"_r{i}").alias("r"),
-            target_r(a).alias("target_r_1"), target_r(b).alias("target_r_2"),
+            F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), r(a, b).alias("r"),
+            r(a, target).alias("target_r_1"), r(b, target).alias("target_r_2"),
         )
-        for i, (a, b) in enumerate(pairs)
+        for a, b in pairs
     ]
-    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return pair_facts(df, [*pairs, *extra]).select(F.inline(F.array(*cells)))
 
 
 def corr_with_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """(feature, r, abs_r) strongest first; features without a defined correlation are left out."""
     features = [c for c in columns if c != target]
-    wide = df.agg(*[safe_corr(quoted(f), quoted(target)).alias(f"_r{i}") for i, f in enumerate(features)])
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f"_r{i}").alias("r")) for i, f in enumerate(features)]
+    facts = pair_facts(df, [(f, target) for f in features])
+    cells = [F.struct(F.lit(f).alias("feature"), F.get("r", F.lit(i)).alias("r")) for i, f in enumerate(features)]
     return (
-        wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+        facts.select(F.inline(F.array(*cells)))
         .filter(F.col("r").isNotNull()).withColumn("abs_r", F.abs("r"))
         .orderBy(F.desc("abs_r"), "feature")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DropGroup, quoted
-from ..functions.stats import safe_corr
+from .correlation import pair_facts
 from .profiling import missing_summary
 
 SPARSE, MANUAL, REDUNDANT = "sparse", "manual", "redundant"
@@ -78,21 +78,19 @@ def removal_ledger(
     keep = {target, *protect}
     columns = [c for c in df.columns if c not in keep]
     numeric = [c for c in numeric if c not in manual and c in columns]
-    null_of = {c: f"_m{i}" for i, c in enumerate(columns)}
-    target_of = {c: f"_t{i}" for i, c in enumerate(numeric)}
     pairs = list(combinations(numeric, 2))
-    wide = df.agg(
-        F.count("*").alias("_rows"),
-        *[F.count_if(F.col(quoted(c)).isNull()).alias(p) for c, p in null_of.items()],
-        *[safe_corr(quoted(c), quoted(target)).alias(p) for c, p in target_of.items()],
-        *[safe_corr(quoted(a), quoted(b)).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)],
-    )
+    with_target = [(c, target) for c in numeric]
+    facts = pair_facts(df, [*pairs, *with_target], counted=columns)
+    null_at = {c: i for i, c in enumerate(columns)}
+    target_at = {c: len(pairs) + i for i, c in enumerate(numeric)}
 
     def pct(c):
-        return F.coalesce(F.round(F.try_divide(F.col(null_of[c]), F.col("_rows")) * 100, 2), F.lit(0.0))
+        share = F.try_divide(F.get("nulls", F.lit(null_at[c])), F.col("row_count"))
+        return F.coalesce(F.round(share * 100, 2), F.lit(0.0))
 
     def target_r(c):
-        return F.coalesce(F.abs(F.col(target_of[c])), F.lit(0.0)) if c in target_of else F.lit(None).cast("double")
+        known = F.coalesce(F.abs(F.get("r", F.lit(target_at[c]))), F.lit(0.0)) if c in target_at else F.lit(None)
+        return known.cast("double")
 
     def row(order, stage, feature, reason, when):
         return F.when(when, F.struct(
@@ -107,12 +105,12 @@ def removal_ledger(
     ]
     removals += [row(1, MANUAL, c, manual[c], F.lit(True)) for c in columns if c in manual]
     for i, (a, b) in enumerate(pairs):
-        high = (F.abs(F.col(f"_r{i}")) >= corr_threshold) & (pct(a) < sparse_threshold) & (pct(b) < sparse_threshold)
+        high = (F.abs(F.get("r", F.lit(i))) >= corr_threshold) & (pct(a) < sparse_threshold) & (pct(b) < sparse_threshold)
         first_wins = target_r(a) >= target_r(b)
         reason = f"correlation with a kept column reaches {corr_threshold:g}, weaker relation to the target"
         removals += [row(2, REDUNDANT, b, reason, high & first_wins), row(2, REDUNDANT, a, reason, high & ~first_wins)]
 
-    found = wide.select(F.explode(F.array_compact(F.array(*removals))).alias("c")).select("c.*")
+    found = facts.select(F.explode(F.array_compact(F.array(*removals))).alias("c")).select("c.*")
     first = Window.partitionBy("feature").orderBy("stage_order")  # at most one row per stage and partner column
     return (
         found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "stage_order")

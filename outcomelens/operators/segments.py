@@ -96,15 +96,11 @@ def _report_with_pooled_correlations(df, columns, measures, require, count_as, c
     kept = _present(require)
     moments = []
     for i, (a, b) in enumerate(correlations.values()):
-        x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-        y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
-        n = F.count(x)
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
         moments += [
-            n.alias(f"_n{i}"), F.coalesce(F.avg(x), F.lit(0.0)).alias(f"_mx{i}"),
-            F.coalesce(F.avg(y), F.lit(0.0)).alias(f"_my{i}"),
-            F.coalesce(F.var_pop(x) * n, F.lit(0.0)).alias(f"_xx{i}"),
-            F.coalesce(F.var_pop(y) * n, F.lit(0.0)).alias(f"_yy{i}"),
-            F.coalesce(F.covar_pop(x, y) * n, F.lit(0.0)).alias(f"_xy{i}"),
+            F.regr_count(y, x).alias(f"_n{i}"),
+            *[F.coalesce(moment(y, x), F.lit(0.0)).alias(f"_{name}{i}") for name, moment in (
+                ("mx", F.regr_avgx), ("my", F.regr_avgy), ("xx", F.regr_sxx), ("yy", F.regr_syy), ("xy", F.regr_sxy))],
         ]
     groups = df.groupBy(
         kept.alias("_kept"), *[F.when(kept, c).alias(name) for name, c in columns.items()]
