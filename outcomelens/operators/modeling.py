@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -85,6 +86,33 @@ def feature_stages(
     return stages
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores: a fit passes over them dozens of times.
+
+    Input that already has that many partitions (any large table) is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+@contextmanager
+def held(*frames: DataFrame):
+    """Frames spread and cached (memory, then disk) while a fit or an evaluation passes over them."""
+    cached = [spread(df).persist(StorageLevel.MEMORY_AND_DISK) for df in frames]
+    try:
+        yield cached
+    finally:
+        for df in cached:
+            df.unpersist()
+
+
+def fit_spec(
+    spec: Spec, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], impute: bool = False
+) -> PipelineModel:
+    stages = feature_stages(numeric, categorical, spec.scale, impute)
+    return Pipeline(stages=[*stages, spec.estimator]).fit(train)
+
+
 @dataclass
 class Comparison:
     metrics: DataFrame
@@ -108,23 +136,20 @@ def compare_classifiers(
     All threshold metrics come from one confusion aggregate. The areas use MLlib's evaluator (thresholds binned) or,
     with ``exact``, every distinct score.
     """
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     rows, models = [], {}
-    for spec in specs:
-        model = Pipeline(stages=[*feature_stages(numeric, categorical, spec.scale), spec.estimator]).fit(train)
-        scored = model.transform(test).select(label, "prediction", "rawPrediction").persist(
-            StorageLevel.MEMORY_AND_DISK)
-        row = threshold_metrics(confusion(scored, label)).first().asDict()
-        if exact:
-            row |= exact_auc(scored, label, vector_to_array("rawPrediction")[1]).first().asDict()
-        else:
-            for name, metric in (("roc_auc", "areaUnderROC"), ("pr_auc", "areaUnderPR")):
-                row[name] = round(BinaryClassificationEvaluator(
-                    labelCol=label, rawPredictionCol="rawPrediction", metricName=metric).evaluate(scored), 6)
-        scored.unpersist()
-        models[spec.name] = model
-        rows.append({"model": spec.name, **row})
-    train.unpersist()
+    with held(train, test) as (train, test):
+        for spec in specs:
+            model = fit_spec(spec, train, numeric, categorical)
+            with held(model.transform(test).select(label, "prediction", "rawPrediction")) as (scored,):
+                row = threshold_metrics(confusion(scored, label)).first().asDict()
+                if exact:
+                    row |= exact_auc(scored, label, vector_to_array("rawPrediction")[1]).first().asDict()
+                else:
+                    for name, metric in (("roc_auc", "areaUnderROC"), ("pr_auc", "areaUnderPR")):
+                        row[name] = round(BinaryClassificationEvaluator(
+                            labelCol=label, rawPredictionCol="rawPrediction", metricName=metric).evaluate(scored), 6)
+            models[spec.name] = model
+            rows.append({"model": spec.name, **row})
     metrics = train.sparkSession.createDataFrame(rows).select(
         "model", "accuracy", "f1", "weighted_precision", "weighted_recall", "roc_auc", "pr_auc", "bad_precision",
         "bad_recall", "tn", "fp", "fn", "tp")
@@ -140,15 +165,13 @@ def compare_regressors(
     specs: Sequence[Spec],
 ) -> Comparison:
     """Fit every spec, add the mean baseline; best is the lowest rmse, then mae, then the highest r2."""
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    base = regression_metrics(with_mean_baseline(train, test, target), target)
-    rows, models = [{"model": BASELINE, **base.first().asDict()}], {}
-    for spec in specs:
-        stages = feature_stages(numeric, categorical, spec.scale, impute=True)
-        model = Pipeline(stages=[*stages, spec.estimator]).fit(train)
-        rows.append({"model": spec.name, **regression_metrics(model.transform(test), target).first().asDict()})
-        models[spec.name] = model
-    train.unpersist()
+    with held(train, test) as (train, test):
+        base = regression_metrics(with_mean_baseline(train, test, target), target)
+        rows, models = [{"model": BASELINE, **base.first().asDict()}], {}
+        for spec in specs:
+            model = fit_spec(spec, train, numeric, categorical, impute=True)
+            rows.append({"model": spec.name, **regression_metrics(model.transform(test), target).first().asDict()})
+            models[spec.name] = model
     metrics = train.sparkSession.createDataFrame(
         [(r["model"], r["rmse"], r["mae"], r["r2"], r["mape"], r["n"], r["zero_targets"]) for r in rows],
         "model string, rmse double, mae double, r2 double, mape double, n long, zero_targets long")

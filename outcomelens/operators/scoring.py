@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .correlation import corr_with_target
+from .modeling import held
 
 SEED = 42
 
@@ -104,13 +105,12 @@ def classification_scores(
 ) -> DataFrame:
     """Chi-square statistic and forest importance per feature, combined and ranked."""
     features = [*numeric, *categorical]
-    vectors = discrete_vectors(train, numeric, categorical, label).persist()
-    try:
-        chi = chi_square(vectors, features, label).select("feature", F.col("statistic").alias("chi_square_score"))
-        chi = train.sparkSession.createDataFrame(chi.collect(), "feature string, chi_square_score double")
-        forest = forest_importance(vectors, features, label, trees=trees, depth=depth)
-    finally:
-        vectors.unpersist()
+    with held(train) as (cached,):
+        vectors = discrete_vectors(cached, numeric, categorical, label)
+        with held(vectors) as (vectors,):
+            chi = chi_square(vectors, features, label).select("feature", "statistic").collect()  # one row per column
+            forest = forest_importance(vectors, features, label, trees=trees, depth=depth)
+    chi = train.sparkSession.createDataFrame(chi, "feature string, chi_square_score double")
     scores = chi.join(forest.withColumnRenamed("importance", "random_forest_importance"), "feature")
     return combine_scores(
         _typed(scores, numeric), ["chi_square_score", "random_forest_importance"], top_k=top_k)
@@ -128,8 +128,9 @@ def regression_scores(
             inputCols=list(categorical), outputCols=[f"{c}__index" for c in categorical], handleInvalid="keep"))
     stages.append(VectorAssembler(
         inputCols=[*numeric, *[f"{c}__index" for c in categorical]], outputCol="features", handleInvalid="keep"))
-    vectors = Pipeline(stages=stages).fit(train).transform(train).select(target, "features")
-    forest = forest_importance(vectors, features, target, regression=True, trees=trees, depth=depth)
+    with held(train) as (cached,):
+        vectors = Pipeline(stages=stages).fit(cached).transform(cached).select(target, "features")
+        forest = forest_importance(vectors, features, target, regression=True, trees=trees, depth=depth)
     corr = corr_with_target(train, numeric, target).select("feature", F.col("abs_r").alias("absolute_correlation"))
     scores = forest.withColumnRenamed("importance", "random_forest_importance").join(corr, "feature", "left")
     return combine_scores(

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from ..sources import publish, read_json, read_message_stream, to_messages, write_json
-from ..streaming import decode, score, score_stream
+from ..streaming import parse, score, score_stream
 from .models import CATEGORICAL, NUMERIC, _weighted, forest
 from .registry import query
 from .tables import ROW_KEY, Tables
@@ -54,13 +54,14 @@ def damaged_messages(t: Tables) -> DataFrame:
         sum(CASE WHEN l_linenumber < 5 THEN CAST(l_quantity AS BIGINT) END) AS quantity,
         count(DISTINCT CASE WHEN l_linenumber < 5 THEN l_returnflag END) AS flags FROM lineitem GROUP BY 1""")
 def json_parse(t: Tables):
-    records, rejected = decode(damaged_messages(t), MESSAGE)
-    return records.agg(
-        F.lit("decoded").alias("status"), F.count("*").alias("n"),
-        F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.count_distinct("l_returnflag").alias("flags"),
-    ).unionByName(rejected.agg(
-        F.lit("quarantined").alias("status"), F.count("*").alias("n"), F.lit(None).cast("long").alias("quantity"),
-        F.lit(0).cast("long").alias("flags")))
+    data, valid = F.col("data"), F.col("valid")
+    return parse(damaged_messages(t), MESSAGE).groupBy(
+        F.when(valid, "decoded").otherwise("quarantined").alias("status")
+    ).agg(
+        F.count("*").alias("n"),
+        F.sum(F.when(valid, data["l_quantity"]).cast("long")).alias("quantity"),
+        F.count_distinct(F.when(valid, data["l_returnflag"])).alias("flags"),
+    )
 
 
 @query("event_props", """
@@ -76,7 +77,7 @@ INPUT = [*ROW_KEY, *NUMERIC, *CATEGORICAL]
 def run_stream(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Publish the stream part (a tenth of it damaged), score it as a stream; (scored, quarantined, batch scores)."""
     train, _, stream_part = _weighted(t)
-    model = forest(t, train)
+    model = forest(train)
     records = stream_part.select(*INPUT)
     source = scratch_path(t.spark, "topic")
     broken = F.col("l_linenumber") == 7

@@ -180,20 +180,21 @@ def train_regressors(t: Tables):
     return modeling.compare_regressors(split["train"], split["test"], NUMERIC, CATEGORICAL, TARGET, specs).metrics
 
 
-def forest(t: Tables, train):
+def forest(train):
     spec = modeling.classifier_specs(**SMALL_CLASSIFIERS)[1]
-    return Pipeline(stages=[*modeling.feature_stages(NUMERIC, CATEGORICAL), spec.estimator]).fit(train)
+    with modeling.held(train) as (cached,):
+        return modeling.fit_spec(spec, cached, NUMERIC, CATEGORICAL)
 
 
 @query("importance_rollup")
 def importance_rollup(t: Tables):
     train, _, _ = _weighted(t)
-    return modeling.importance_rollup(forest(t, train), train, NUMERIC, CATEGORICAL)
+    return modeling.importance_rollup(forest(train), train, NUMERIC, CATEGORICAL)
 
 
 @query("model_roundtrip_score")
 def model_roundtrip_score(t: Tables):
     train, test, _ = _weighted(t)
     path = scratch_path(t.spark, "model")
-    forest(t, train).write().overwrite().save(path)
+    forest(train).write().overwrite().save(path)
     return score(test.drop("label"), modeling.load_model(path), with_time=False)

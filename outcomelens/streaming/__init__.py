@@ -1,3 +1,3 @@
-from .scoring import decode, score, score_stream, write_batch
+from .scoring import decode, parse, score, score_stream, split_valid, write_batch
 
-__all__ = ["decode", "score", "score_stream", "write_batch"]
+__all__ = ["decode", "parse", "score", "score_stream", "split_valid", "write_batch"]

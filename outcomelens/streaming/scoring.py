@@ -14,23 +14,31 @@ from pyspark.sql.streaming import StreamingQuery
 CORRUPT = "_corrupt"
 
 
-def decode(messages: DataFrame, schema: T.StructType, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Split ``value`` messages into (records, quarantine).
+def parse(messages: DataFrame, schema: T.StructType, required: Sequence[str] = ()) -> DataFrame:
+    """(value, data, valid) of ``value`` messages.
 
-    A message is quarantined if it is null, not an object of this schema, has a field of the wrong type, or lacks a
+    A message is invalid if it is null, not an object of this schema, has a field of the wrong type, or lacks a
     ``required`` field. Unknown fields are ignored, other missing fields are null.
     """
     tagged = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = messages.select(
-        "value",
-        F.from_json("value", tagged, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("data"),
-    )
-    good = F.col("data").isNotNull() & F.col(f"data.{CORRUPT}").isNull()
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    # the explode of one element keeps filters on the parsed fields from parsing the text again
+    parsed = messages.select("value", F.explode(F.array(F.from_json("value", tagged, options))).alias("data"))
+    valid = F.col("data").isNotNull() & F.col(f"data.{CORRUPT}").isNull()
     for name in required:
-        good = good & F.col("data").getField(name).isNotNull()
-    good = F.coalesce(good, F.lit(False))
-    records = parsed.filter(good).select(*[F.col("data").getField(f.name).alias(f.name) for f in schema.fields])
-    return records, parsed.filter(~good).select("value")
+        valid = valid & F.col("data").getField(name).isNotNull()
+    return parsed.withColumn("valid", F.coalesce(valid, F.lit(False)))
+
+
+def split_valid(parsed: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(records, quarantined messages) of a ``parse`` result."""
+    fields = [F.col("data").getField(f.name).alias(f.name) for f in schema.fields]
+    return parsed.filter("valid").select(*fields), parsed.filter("NOT valid").select("value")
+
+
+def decode(messages: DataFrame, schema: T.StructType, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Split ``value`` messages into (records, quarantine)."""
+    return split_valid(parse(messages, schema, required), schema)
 
 
 def score(
@@ -60,11 +68,11 @@ def write_batch(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select("value").persist()
+        batch = parse(batch, schema, required).persist()  # parsed once for both outputs
         try:
             if batch.isEmpty():
                 return
-            records, rejected = decode(batch, schema, required)
+            records, rejected = split_valid(batch, schema)
             score(records, model).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
             rejected.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
         finally:
