@@ -1,0 +1,85 @@
+import random
+
+import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.sql import functions as F
+
+from outcomelens.functions import Band, lt
+from outcomelens.operators import evaluation as E
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    draw = random.Random(11)
+    data = []
+    for _ in range(800):
+        label = float(draw.random() < 0.3)
+        score = round(min(max(draw.gauss(0.4 + 0.2 * label, 0.2), 0.0), 1.0), 2)
+        data.append((label, score, float(score > 0.5)))
+    return spark.createDataFrame(data, "label double, score double, prediction double")
+
+
+def test_threshold_metrics_equal_mllib(scored):
+    got = E.threshold_metrics(E.confusion(scored)).first()
+    assert got["tn"] + got["fp"] + got["fn"] + got["tp"] == 800
+    for ours, theirs in (("accuracy", "accuracy"), ("f1", "f1"), ("weighted_precision", "weightedPrecision"),
+                         ("weighted_recall", "weightedRecall")):
+        want = MulticlassClassificationEvaluator(labelCol="label", metricName=theirs).evaluate(scored)
+        assert got[ours] == pytest.approx(want, abs=1e-6)
+
+
+def test_exact_areas_equal_mllib_without_binning(scored):
+    got = E.exact_auc(scored, "label", "score").first()
+    for ours, theirs in (("roc_auc", "areaUnderROC"), ("pr_auc", "areaUnderPR")):
+        want = BinaryClassificationEvaluator(
+            labelCol="label", rawPredictionCol="score", metricName=theirs, numBins=0).evaluate(scored)
+        assert got[ours] == pytest.approx(want, abs=1e-6)
+
+
+def test_areas_of_extreme_scores(spark):
+    perfect = spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.1)], "label int, score double")
+    assert tuple(E.exact_auc(perfect, "label", "score").first()) == (1.0, 1.0)
+    constant = perfect.withColumn("score", F.lit(0.5))
+    assert tuple(E.exact_auc(constant, "label", "score").first()) == (0.5, round(2 / 3, 6))
+    one_class = perfect.filter("label = 1")
+    assert E.exact_auc(one_class, "label", "score").first()["roc_auc"] is None
+
+
+def test_empty_cells_are_zero(spark):
+    df = spark.createDataFrame([(0, 0.0), (0, 0.0)], "label int, prediction double")
+    assert tuple(E.confusion(df).first()) == (2, 0, 0, 0)
+    metrics = E.threshold_metrics(E.confusion(df)).first()
+    assert (metrics["accuracy"], metrics["bad_precision"], metrics["bad_recall"]) == (1.0, 0.0, 0.0)
+
+
+def test_regression_metrics_equal_mllib_and_count_zero_targets(spark):
+    df = spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (4.0, 3.0), (0.0, 1.0)], "y double, prediction double")
+    got = E.regression_metrics(df, "y").first()
+    for name in ("rmse", "mae", "r2"):
+        want = RegressionEvaluator(labelCol="y", metricName=name).evaluate(df)
+        assert got[name] == pytest.approx(want, abs=1e-6)
+    assert got["mape"] == 0.25 and got["zero_targets"] == 1 and got["n"] == 4
+
+
+def test_constant_target_has_no_r2(spark):
+    df = spark.createDataFrame([(1.0, 1.5), (1.0, 2.0)], "y double, prediction double")
+    assert E.regression_metrics(df, "y").first()["r2"] is None
+
+
+def test_mean_baseline(spark):
+    train = spark.createDataFrame([(1.0,), (3.0,)], "y double")
+    test = spark.createDataFrame([(5.0,), (None,)], "y double")
+    assert [r["prediction"] for r in E.with_mean_baseline(train, test, "y").collect()] == [2.0, 2.0]
+
+
+def test_error_by_band_and_residuals(spark, rows):
+    df = spark.createDataFrame([(0.05, 0.10), (0.10, 0.05), (0.0, 0.1)], "y double, prediction double")
+    assert rows(E.error_by_band(df, "y", Band((lt(0.1, "a"),), "b"))) == [("a", 2, 0.075, 1.0), ("b", 1, 0.05, 0.5)]
+    assert rows(E.residuals(df.limit(1), "y")) == [(0.05, 0.1, -0.05, 0.05)]
+
+
+def test_best_model(spark):
+    df = spark.createDataFrame([("base", 0.1, 1.0), ("b", 0.5, 0.2), ("a", 0.5, 0.2), ("c", 0.5, 0.3)],
+                               "model string, rmse double, mae double")
+    assert E.best_model(df, [F.asc("rmse"), F.asc("mae")], exclude=["base"]).first()["model"] == "a"
+    assert E.best_model(df, [F.asc("rmse")]).first()["model"] == "base"
