@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,26 +18,40 @@ def corr_scalars(df: DataFrame, pairs: dict[str, tuple[str, str]], digits: int =
     ])
 
 
-def pair_facts(df: DataFrame, pairs: Sequence[tuple[str, str]], counted: Sequence[str] = ()) -> DataFrame:
-    """One row: ``r``, the correlation of each pair in order, then ``row_count`` and ``nulls`` of ``counted``.
+def pair_cells(df: DataFrame, numeric: Sequence[str], counted: Sequence[str] = ()) -> DataFrame:
+    """One row with ``cells``, an array of (a, b, row_count, n, r) ordered by (a, b).
 
-    Each record is spread over its pairs inside the task and merged there by pair, so one scan serves any number of
-    pairs, the generated code does not grow with them and only (pair, moments) rows are shuffled.
+    a <= b are positions in ``numeric``; n counts the rows where both are present and r correlates them, so the cell
+    (a, a) counts the present values of a column. The columns in ``counted`` follow with that last kind of cell only.
+
+    Each record is spread over its pairs inside the task and merged there by pair: one scan serves any number of pairs,
+    the generated code does not grow with them and only (pair, moments) rows are shuffled.
     """
-    x_y = [(F.col(quoted(a)).cast("double"), F.col(quoted(b)).cast("double")) for a, b in pairs]
-    flags = [(F.when(F.col(quoted(c)).isNull(), 1.0), F.lit(None).cast("double")) for c in counted]
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("i"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate([*x_y, *flags])
-    ])
-    per_cell = df.select(F.inline(cells)).groupBy("i").agg(
-        F.count("*").alias("row_count"), F.count("x").alias("present"), safe_corr("x", "y").alias("r"))
-    cell = F.sort_array(F.collect_list(F.struct("i", "row_count", "present", "r")))  # one element per pair or column
-    row = per_cell.agg(cell.alias("cell"))
-    return row.select(
-        F.slice("cell.r", 1, len(pairs)).alias("r") if pairs else F.array().cast("array<double>").alias("r"),
-        F.coalesce(F.get("cell.row_count", 0), F.lit(0)).alias("row_count"),
-        F.slice("cell.present", len(pairs) + 1, max(len(counted), 1)).alias("nulls"),
+    k = len(numeric)
+    values = [F.col(quoted(c)).cast("double") for c in numeric]
+    flags = [F.when(F.col(quoted(c)).isNotNull(), 1.0) for c in counted]
+    a, d = F.col("a"), F.col("d")
+    partners = F.when(a < k, k - a).otherwise(1)
+    pairs = (
+        df.select(F.array(*values, *flags).alias("v"))
+        .select("v", F.posexplode("v").alias("a", "x"))
+        .select("a", "x", F.posexplode(F.slice("v", a + 1, partners)).alias("d", "y"))
     )
+    cells = pairs.groupBy("a", (a + d).alias("b")).agg(
+        F.count("*").alias("row_count"), F.regr_count("x", "y").alias("n"), safe_corr("x", "y").alias("r"))
+    # one element per pair of columns
+    return cells.agg(F.sort_array(F.collect_list(F.struct("a", "b", "row_count", "n", "r"))).alias("cells"))
+
+
+def cell(a: Column, b: Column, k: int) -> Column:
+    """The element of ``cells`` for two positions in either order (row by row upper triangle of k columns)."""
+    low, high = F.least(a, b), F.greatest(a, b)
+    triangle = low * k - F.shiftright(low * (low - 1), 1) + high - low
+    return F.get("cells", F.when(low < k, triangle).otherwise(k * (k + 1) // 2 + low - k).cast("int"))
+
+
+def name_at(names: Sequence[str], position: Column) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in names]), position)
 
 
 def corr_pairs(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:
@@ -46,34 +59,32 @@ def corr_pairs(df: DataFrame, columns: Sequence[str], target: str | None = None)
 
     The two last columns are each feature's correlation with ``target`` (null without one).
     """
-    pairs = list(combinations(columns, 2))
-    with_target = [(f, target) for f in columns if target and f != target]
-    place = {pair: i for i, pair in enumerate(pairs)}
-    extra = [p for p in with_target if p not in place and p[::-1] not in place]
-    place |= {pair: len(pairs) + i for i, pair in enumerate(extra)}
-
-    def r(a, b):
-        index = place.get((a, b), place.get((b, a)))
-        return F.lit(None).cast("double") if index is None else F.get("r", F.lit(index))
-
-    cells = [
-        F.struct(
-            F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), r(a, b).alias("r"),
-            r(a, target).alias("target_r_1"), r(b, target).alias("target_r_2"),
-        )
-        for a, b in pairs
-    ]
-    return pair_facts(df, [*pairs, *extra]).select(F.inline(F.array(*cells)))
+    columns = list(columns)
+    names = columns if target is None or target in columns else [*columns, target]
+    a, b, k = F.col("a"), F.col("b"), len(names)
+
+    def target_r(position):
+        if target is None:
+            return F.lit(None).cast("double")
+        at = F.lit(names.index(target))
+        return F.when(position != at, cell(position, at, k)["r"])
+
+    pairs = pair_cells(df, names).select("cells", F.inline("cells")).filter((a < b) & (b < len(columns)))
+    return pairs.select(
+        name_at(names, a).alias("feature_1"), name_at(names, b).alias("feature_2"), "r",
+        target_r(a).alias("target_r_1"), target_r(b).alias("target_r_2"),
+    )
 
 
 def corr_with_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """(feature, r, abs_r) strongest first; features without a defined correlation are left out."""
     features = [c for c in columns if c != target]
-    facts = pair_facts(df, [(f, target) for f in features])
-    cells = [F.struct(F.lit(f).alias("feature"), F.get("r", F.lit(i)).alias("r")) for i, f in enumerate(features)]
+    values = F.array(*[F.col(quoted(f)).cast("double") for f in features])
+    spread = df.select(values.alias("v"), F.col(quoted(target)).cast("double").alias("y")).select(
+        "y", F.posexplode("v").alias("a", "x"))
     return (
-        facts.select(F.inline(F.array(*cells)))
-        .filter(F.col("r").isNotNull()).withColumn("abs_r", F.abs("r"))
+        spread.groupBy("a").agg(safe_corr("x", "y").alias("r")).filter(F.col("r").isNotNull())
+        .select(name_at(features, F.col("a")).alias("feature"), "r", F.abs("r").alias("abs_r"))
         .orderBy(F.desc("abs_r"), "feature")
     )
 

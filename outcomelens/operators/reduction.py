@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DropGroup, quoted
-from .correlation import pair_facts
+from .correlation import cell, name_at, pair_cells
 from .profiling import missing_summary
 
 SPARSE, MANUAL, REDUNDANT = "sparse", "manual", "redundant"
@@ -73,48 +72,51 @@ def removal_ledger(
     """(feature, stage, reason, missing_percent, target_abs_r): sparse, then manual, then redundant columns.
 
     A column keeps its first reason. Redundancy is judged among the numeric columns that are neither sparse nor
-    removed by hand. Everything is read off one aggregate row over the data, so the whole ledger is one scan.
+    removed by hand, pair by pair as in ``weaker_of_pair``. The whole ledger is read off one scan of the data.
     """
-    keep = {target, *protect}
-    columns = [c for c in df.columns if c not in keep]
-    numeric = [c for c in numeric if c not in manual and c in columns]
-    pairs = list(combinations(numeric, 2))
-    with_target = [(c, target) for c in numeric]
-    facts = pair_facts(df, [*pairs, *with_target], counted=columns)
-    null_at = {c: i for i, c in enumerate(columns)}
-    target_at = {c: len(pairs) + i for i, c in enumerate(numeric)}
-
-    def pct(c):
-        share = F.try_divide(F.get("nulls", F.lit(null_at[c])), F.col("row_count"))
-        return F.coalesce(F.round(share * 100, 2), F.lit(0.0))
-
-    def target_r(c):
-        known = F.coalesce(F.abs(F.get("r", F.lit(target_at[c]))), F.lit(0.0)) if c in target_at else F.lit(None)
-        return known.cast("double")
-
-    def row(order, stage, feature, reason, when):
-        return F.when(when, F.struct(
-            F.lit(order).alias("stage_order"), F.lit(stage).alias("stage"), F.lit(feature).alias("feature"),
-            F.lit(reason).alias("reason"), pct(feature).alias("missing_percent"),
-            F.round(target_r(feature), 4).alias("target_abs_r"),
-        ))
-
-    removals = [
-        row(0, SPARSE, c, f"missing percentage reaches {sparse_threshold:g}", pct(c) >= sparse_threshold)
-        for c in columns
-    ]
-    removals += [row(1, MANUAL, c, manual[c], F.lit(True)) for c in columns if c in manual]
-    for i, (a, b) in enumerate(pairs):
-        high = (F.abs(F.get("r", F.lit(i))) >= corr_threshold) & (pct(a) < sparse_threshold) & (pct(b) < sparse_threshold)
-        first_wins = target_r(a) >= target_r(b)
-        reason = f"correlation with a kept column reaches {corr_threshold:g}, weaker relation to the target"
-        removals += [row(2, REDUNDANT, b, reason, high & first_wins), row(2, REDUNDANT, a, reason, high & ~first_wins)]
-
-    found = facts.select(F.explode(F.array_compact(F.array(*removals))).alias("c")).select("c.*")
+    candidates = [c for c in df.columns if c not in {target, *protect}]
+    numeric = [c for c in numeric if c in candidates and c not in manual]
+    names = [*numeric, target]
+    k = len(names)
+    names += [c for c in candidates if c not in numeric]
+    by_hand = [c for c in candidates if c in manual]
+    a, b, at_target = F.col("a"), F.col("b"), F.lit(k - 1)
+
+    def missing_percent(position):
+        own = cell(position, position, k)
+        return F.round(F.try_divide(own["row_count"] - own["n"], own["row_count"]) * 100, 2)
+
+    def target_r(position):
+        return F.when(position < k - 1, F.coalesce(F.abs(cell(position, at_target, k)["r"]), F.lit(0.0)))
+
+    cells = pair_cells(df, names[:k], names[k:]).select("cells", F.inline("cells")).filter(
+        (a != k - 1) & (b != k - 1)
+    ).withColumns({"missing_1": missing_percent(a), "missing_2": missing_percent(b),
+                   "target_1": target_r(a), "target_2": target_r(b)})
+    own, name = a == b, name_at(names, a)
+    drop_second = F.col("target_1") >= F.col("target_2")
+    dense = (F.col("missing_1") < sparse_threshold) & (F.col("missing_2") < sparse_threshold)
+    high = ~own & dense & (F.abs("r") >= corr_threshold)
+
+    def removal(stage_order, stage, reason, second=F.lit(False)):
+        return F.struct(
+            F.lit(stage_order).alias("stage_order"), F.lit(stage).alias("stage"),
+            F.when(second, name_at(names, b)).otherwise(name).alias("feature"), reason.alias("reason"),
+            F.when(second, F.col("missing_2")).otherwise(F.col("missing_1")).alias("missing_percent"),
+            F.round(F.when(second, F.col("target_2")).otherwise(F.col("target_1")), 4).alias("target_abs_r"),
+        )
+
+    found = cells.select(F.inline(F.array_compact(F.array(
+        F.when(own & (F.col("missing_1") >= sparse_threshold), removal(
+            0, SPARSE, F.lit(f"missing percentage reaches {sparse_threshold:g}"))),
+        F.when(own & name.isin(*by_hand), removal(
+            1, MANUAL, F.get(F.array(*[F.lit(manual[c]) for c in by_hand]), F.array_position(
+                F.array(*[F.lit(c) for c in by_hand]), name).cast("int") - 1))) if by_hand else F.lit(None),
+        F.when(high, removal(2, REDUNDANT, F.lit(
+            f"correlation with a kept column reaches {corr_threshold:g}, weaker relation to the target"), drop_second)),
+    ))))
     first = Window.partitionBy("feature").orderBy("stage_order")  # at most one row per stage and partner column
-    return (
-        found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "stage_order")
-    )
+    return found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "stage_order")
 
 
 @dataclass(frozen=True)

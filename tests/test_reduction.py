@@ -51,7 +51,7 @@ def test_pairs_need_one_scan(table):
 
 
 def test_empty_table(table):
-    assert {p["r"] for p in C.corr_pairs(table.limit(0), NUMERIC, "the price").collect()} == {None}
+    assert C.corr_pairs(table.limit(0), NUMERIC, "the price").count() == 0
     assert removal_ledger(table.limit(0), NUMERIC, "the price", {}).count() == 0
 
 
