@@ -23,18 +23,14 @@ def split_name(keys: Sequence[str], shares: dict[str, int], salt: str = "") -> C
 
     The bucket does not depend on the label, so each label is split in the same expected ratio.
     """
-    bucket = hash_bucket(keys, sum(shares.values()), salt)
-    upper, chain = 0, None
-    for name, share in shares.items():
-        upper += share
-        chain = F.when(bucket < upper, name) if chain is None else chain.when(bucket < upper, name)
-    return chain
+    slots = [name for name, share in shares.items() for _ in range(share)]
+    return F.get(F.array(*[F.lit(name) for name in slots]), hash_bucket(keys, len(slots), salt).cast("int"))
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], shares: dict[str, int], salt: str = "") -> dict[str, DataFrame]:
-    """Disjoint, exhaustive parts of ``df``. Duplicate keys stay together."""
-    tagged = df.withColumn("_part", split_name(keys, shares, salt))
-    return {name: tagged.filter(F.col("_part") == name).drop("_part") for name in shares}
+    """Disjoint, exhaustive parts of ``df``, each a filter. Duplicate keys stay together."""
+    part = split_name(keys, shares, salt)
+    return {name: df.filter(part == name) for name in shares}
 
 
 @dataclass(frozen=True)
