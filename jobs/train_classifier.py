@@ -20,7 +20,8 @@ def main():
     types = feature_types(parts["train"], exclude={"label"})
     save_report(distribution(parts["train"], "label", "label", with_percent=True), args.reports, "label_distribution")
     save_report(
-        scoring.classification_scores(train, types.numeric, types.categorical, trees=args.score_trees).orderBy("rank"),
+        scoring.classification_scores(
+            train, types.numeric, types.categorical, trees=args.score_trees).orderBy("rank"),
         args.reports, "feature_scores")
     specs = modeling.classifier_specs(
         lr_iter=args.lr_iter, trees=args.trees, forest_depth=args.forest_depth, boost_iter=args.boost_iter,

@@ -18,8 +18,9 @@ def main():
     train, test = (spark.read.parquet(f"{args.regression}/part={p}") for p in ("train", "test"))
     types = feature_types(train, exclude={TARGET})
     save_report(
-        scoring.regression_scores(train, types.numeric, types.categorical, TARGET, trees=args.score_trees)
-        .orderBy("rank"), args.reports, "feature_scores")
+        scoring.regression_scores(
+            train, types.numeric, types.categorical, TARGET, trees=args.score_trees).orderBy("rank"),
+        args.reports, "feature_scores")
     specs = modeling.regressor_specs(
         TARGET, lr_iter=args.lr_iter, reg=args.reg, trees=args.trees, forest_depth=args.forest_depth,
         boost_iter=args.boost_iter, boost_depth=args.boost_depth, step=args.step)

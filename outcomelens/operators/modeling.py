@@ -86,19 +86,16 @@ def feature_stages(
     return stages
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over at least as many partitions as there are cores: a fit passes over them dozens of times.
+@contextmanager
+def held(*frames: DataFrame, spread_by: Sequence[str] = ()):
+    """Frames cached (memory, then disk) while a fit or an evaluation passes over them.
 
-    Input that already has that many partitions (any large table) is left where it is.
+    ``spread_by`` names key columns to lay the rows out evenly first. It costs one shuffle and pays when the input has
+    few or uneven partitions; it also takes the layout of the input out of what a forest learns.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-@contextmanager
-def held(*frames: DataFrame):
-    """Frames spread and cached (memory, then disk) while a fit or an evaluation passes over them."""
-    cached = [spread(df).persist(StorageLevel.MEMORY_AND_DISK) for df in frames]
+    cached = [
+        (df.repartition(*spread_by) if spread_by else df).persist(StorageLevel.MEMORY_AND_DISK) for df in frames
+    ]
     try:
         yield cached
     finally:
@@ -129,7 +126,7 @@ class Comparison:
 
 def compare_classifiers(
     train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str], specs: Sequence[Spec],
-    label: str = "label", exact: bool = False,
+    label: str = "label", exact: bool = False, spread_by: Sequence[str] = (),
 ) -> Comparison:
     """Fit every spec on train and measure it on test; best is the highest PR-AUC.
 
@@ -137,7 +134,7 @@ def compare_classifiers(
     with ``exact``, every distinct score.
     """
     rows, models = [], {}
-    with held(train, test) as (train, test):
+    with held(train, test, spread_by=spread_by) as (train, test):
         for spec in specs:
             model = fit_spec(spec, train, numeric, categorical)
             with held(model.transform(test).select(label, "prediction", "rawPrediction")) as (scored,):
@@ -162,10 +159,10 @@ def pick_classifier(metrics: DataFrame) -> DataFrame:
 
 def compare_regressors(
     train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
-    specs: Sequence[Spec],
+    specs: Sequence[Spec], spread_by: Sequence[str] = (),
 ) -> Comparison:
     """Fit every spec, add the mean baseline; best is the lowest rmse, then mae, then the highest r2."""
-    with held(train, test) as (train, test):
+    with held(train, test, spread_by=spread_by) as (train, test):
         base = regression_metrics(with_mean_baseline(train, test, target), target)
         rows, models = [{"model": BASELINE, **base.first().asDict()}], {}
         for spec in specs:

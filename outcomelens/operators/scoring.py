@@ -101,11 +101,11 @@ def _typed(scores: DataFrame, numeric: Sequence[str]) -> DataFrame:
 
 def classification_scores(
     train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str = "label", trees: int = 80,
-    depth: int = 6, top_k: int | None = None,
+    depth: int = 6, top_k: int | None = None, spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Chi-square statistic and forest importance per feature, combined and ranked."""
     features = [*numeric, *categorical]
-    with held(train) as (cached,):
+    with held(train, spread_by=spread_by) as (cached,):
         vectors = discrete_vectors(cached, numeric, categorical, label)
         with held(vectors) as (vectors,):
             chi = chi_square(vectors, features, label).select("feature", "statistic").collect()  # one row per column
@@ -118,7 +118,7 @@ def classification_scores(
 
 def regression_scores(
     train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, trees: int = 80, depth: int = 6,
-    top_k: int | None = None,
+    top_k: int | None = None, spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Absolute target correlation (numeric only) and forest importance per feature, combined and ranked."""
     features = [*numeric, *categorical]
@@ -128,7 +128,7 @@ def regression_scores(
             inputCols=list(categorical), outputCols=[f"{c}__index" for c in categorical], handleInvalid="keep"))
     stages.append(VectorAssembler(
         inputCols=[*numeric, *[f"{c}__index" for c in categorical]], outputCol="features", handleInvalid="keep"))
-    with held(train) as (cached,):
+    with held(train, spread_by=spread_by) as (cached,):
         vectors = Pipeline(stages=stages).fit(cached).transform(cached).select(target, "features")
         forest = forest_importance(vectors, features, target, regression=True, trees=trees, depth=depth)
     corr = corr_with_target(train, numeric, target).select("feature", F.col("abs_r").alias("absolute_correlation"))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 from ..sources import publish, read_json, read_message_stream, to_messages, write_json
 from ..streaming import parse, score, score_stream
-from .models import CATEGORICAL, NUMERIC, _weighted, forest
+from .models import CATEGORICAL, NUMERIC, _weighted, forest, learnable
 from .registry import query
 from .tables import ROW_KEY, Tables
 
@@ -51,7 +51,7 @@ def damaged_messages(t: Tables) -> DataFrame:
 
 @query("json_parse", """
     SELECT CASE WHEN l_linenumber >= 5 THEN 'quarantined' ELSE 'decoded' END AS status, count(*) AS n,
-        sum(CASE WHEN l_linenumber < 5 THEN CAST(l_quantity AS BIGINT) END) AS quantity,
+        CAST(sum(CASE WHEN l_linenumber < 5 THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS quantity,
         count(DISTINCT CASE WHEN l_linenumber < 5 THEN l_returnflag END) AS flags FROM lineitem GROUP BY 1""")
 def json_parse(t: Tables):
     data, valid = F.col("data"), F.col("valid")
@@ -75,10 +75,10 @@ INPUT = [*ROW_KEY, *NUMERIC, *CATEGORICAL]
 
 
 def run_stream(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Publish the stream part (a tenth of it damaged), score it as a stream; (scored, quarantined, batch scores)."""
-    train, _, stream_part = _weighted(t)
+    """Publish every record, line 7 damaged, and score the messages as a stream: (scored, quarantined, batch scores)."""
+    train, _ = _weighted(t)
     model = forest(train)
-    records = stream_part.select(*INPUT)
+    records = learnable(t).select(*INPUT)
     source = scratch_path(t.spark, "topic")
     broken = F.col("l_linenumber") == 7
     messages = to_messages(records.filter(~broken)).unionByName(
@@ -100,10 +100,8 @@ def stream_score(t: Tables):
 
 
 PARITY_SQL = """
-    WITH s AS (SELECT * FROM lineitem WHERE CAST(('0x' || substr(md5(concat_ws('-', '', l_orderkey, l_partkey, l_suppkey,
-        l_linenumber)), 1, 8)) AS BIGINT) % 10 = 9)
     SELECT count(*) FILTER (WHERE l_linenumber <> 7) AS scored, count(*) FILTER (WHERE l_linenumber = 7) AS quarantined,
-        CAST(0 AS BIGINT) AS different FROM s"""
+        CAST(0 AS BIGINT) AS different FROM lineitem"""
 
 
 @query("stream_batch_parity", PARITY_SQL)

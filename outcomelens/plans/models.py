@@ -73,8 +73,9 @@ def chi_square_fixed_bands(t: Tables):
 
 @query("chi_square_scores")
 def chi_square_scores(t: Tables):
-    vectors = scoring.discrete_vectors(parts(t)["train"], NUMERIC, CATEGORICAL, "label")
-    return scoring.chi_square(vectors, [*NUMERIC, *CATEGORICAL], "label")
+    with modeling.held(parts(t)["train"], spread_by=ROW_KEY) as (train,):
+        vectors = scoring.discrete_vectors(train, NUMERIC, CATEGORICAL, "label")
+        return scoring.chi_square(vectors, [*NUMERIC, *CATEGORICAL], "label")  # tested here, one row per feature
 
 
 SCORED = ["l_quantity", "l_discount", "tax_known", "tax_sparse"]
@@ -101,12 +102,13 @@ def score_combine(t: Tables):
 
 @query("feature_rank")
 def feature_rank(t: Tables):
-    return scoring.classification_scores(parts(t)["train"], NUMERIC, CATEGORICAL, trees=5, depth=4)
+    return scoring.classification_scores(parts(t)["train"], NUMERIC, CATEGORICAL, trees=5, depth=4, spread_by=ROW_KEY)
 
 
 @query("feature_rank_regression")
 def feature_rank_regression(t: Tables):
-    return scoring.regression_scores(parts(t)["train"], NUMERIC, CATEGORICAL, TARGET, trees=5, depth=4)
+    return scoring.regression_scores(
+        parts(t)["train"], NUMERIC, CATEGORICAL, TARGET, trees=5, depth=4, spread_by=ROW_KEY)
 
 
 @query("string_index", """
@@ -163,38 +165,39 @@ def linear_regression_exact(t: Tables):
 def _weighted(t: Tables):
     split = parts(t)
     weights = ClassWeights.fit(split["train"])
-    return weights.transform(split["train"]), split["test"], split["stream"]
+    return weights.transform(split["train"]), split["test"]
 
 
 @query("train_classifiers")
 def train_classifiers(t: Tables):
-    train, test, _ = _weighted(t)
+    train, test = _weighted(t)
     specs = modeling.classifier_specs(**SMALL_CLASSIFIERS)
-    return modeling.compare_classifiers(train, test, NUMERIC, CATEGORICAL, specs).metrics
+    return modeling.compare_classifiers(train, test, NUMERIC, CATEGORICAL, specs, spread_by=ROW_KEY).metrics
 
 
 @query("train_regressors")
 def train_regressors(t: Tables):
     split = hash_split(learnable(t), ROW_KEY, {"train": 8, "test": 2})
     specs = modeling.regressor_specs(TARGET, **SMALL_REGRESSORS)
-    return modeling.compare_regressors(split["train"], split["test"], NUMERIC, CATEGORICAL, TARGET, specs).metrics
+    return modeling.compare_regressors(
+        split["train"], split["test"], NUMERIC, CATEGORICAL, TARGET, specs, spread_by=ROW_KEY).metrics
 
 
 def forest(train):
     spec = modeling.classifier_specs(**SMALL_CLASSIFIERS)[1]
-    with modeling.held(train) as (cached,):
+    with modeling.held(train, spread_by=ROW_KEY) as (cached,):
         return modeling.fit_spec(spec, cached, NUMERIC, CATEGORICAL)
 
 
 @query("importance_rollup")
 def importance_rollup(t: Tables):
-    train, _, _ = _weighted(t)
+    train, _ = _weighted(t)
     return modeling.importance_rollup(forest(train), train, NUMERIC, CATEGORICAL)
 
 
 @query("model_roundtrip_score")
 def model_roundtrip_score(t: Tables):
-    train, test, _ = _weighted(t)
+    train, test = _weighted(t)
     path = scratch_path(t.spark, "model")
     forest(train).write().overwrite().save(path)
     return score(test.drop("label"), modeling.load_model(path), with_time=False)

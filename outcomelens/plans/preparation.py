@@ -143,3 +143,37 @@ def split_two_way(t: Tables):
 def class_weights(t: Tables):
     train = splitting.hash_split(labelled(t), ROW_KEY, {"train": 7, "test": 2, "stream": 1})["train"]
     return splitting.class_weight_table(train)
+
+
+@query("medians_approx")
+def medians_approx(t: Tables):
+    return prep.medians(t.records(), ["l_extendedprice", "l_quantity", "tax_known", "tax_sparse"])
+
+
+PREPARED_SQL = f"""
+    WITH base AS (SELECT *, {FLAG_SQL} AS flag, CASE WHEN discount_n <> 3 THEN l_linestatus END AS line_status,
+            date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS wait,
+            {BUCKET_SQL} % 10 < 7 AS in_train
+        FROM {RECORDS_SQL} JOIN orders ON l_orderkey = o_orderkey),
+    m AS (SELECT quantile_disc(tax_known, 0.5) FILTER (WHERE in_train) AS tax_m,
+        quantile_disc(tax_sparse, 0.5) FILTER (WHERE in_train) AS sparse_m FROM base)
+    SELECT {KEYS}, l_extendedprice, coalesce(tax_known, tax_m) AS tax_known,
+        coalesce(tax_sparse, sparse_m) + 0 AS tax_sparse, coalesce(line_status, 'Unknown') AS l_linestatus,
+        coalesce(CAST(flag AS VARCHAR), 'Unknown') AS is_known_final, CAST(year(l_shipdate) AS DOUBLE) AS ship_year,
+        CAST(month(l_shipdate) AS DOUBLE) AS ship_month, CAST(wait AS DOUBLE) AS days_to_ship FROM base, m"""
+
+
+@query("prepare_fit_transform", PREPARED_SQL)
+def prepare_fit_transform(t: Tables):
+    """Medians learnt on the train part, everything else a projection over all rows."""
+    records = t.records().join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        *ROW_KEY, TARGET, "tax_known", "tax_sparse", "l_shipdate", "o_orderdate",
+        F.when(F.col("discount_n") != 3, F.col("l_linestatus")).alias("l_linestatus"),
+        F.when(F.col("tax_known").isNotNull(), F.col("is_final")).alias("is_known_final"))
+    groups = ColumnGroups(
+        status=STATUS, target=TARGET, numeric=("tax_known", "tax_sparse"), categorical=("l_linestatus",),
+        boolean=("is_known_final",), dates=("l_shipdate", "o_orderdate"))
+    preparer = prep.Preparer(
+        groups, {"ship": "l_shipdate"}, {"days_to_ship": ("l_shipdate", "o_orderdate")}, exact=True)
+    train = splitting.hash_split(records, ROW_KEY, {"train": 7, "test": 2, "stream": 1})["train"]
+    return preparer.fit(train).transform(records).withColumn("tax_sparse", F.col("tax_sparse") + 0)

@@ -145,7 +145,7 @@ DROP_GROUPS = [
     SELECT row_count, CAST(stage_no AS BIGINT) AS stage_no, stage, v."column", dropped, reason, CAST(CASE
         WHEN v."column" = 'l_loankey' THEN NULL WHEN v."column" = 'tax_known' THEN known_missing
         WHEN v."column" = 'tax_sparse' THEN sparse_missing ELSE 0 END AS BIGINT) AS missing_count,
-        16 - sum(CASE WHEN dropped THEN 1 ELSE 0 END) OVER (ORDER BY stage_no) AS columns_left
+        CAST(16 - sum(CASE WHEN dropped THEN 1 ELSE 0 END) OVER (ORDER BY stage_no) AS BIGINT) AS columns_left
     FROM facts, (VALUES
         (0, 'identifiers', 'l_orderkey', true, 'identify the record'),
         (0, 'identifiers', 'l_partkey', true, 'identify the record'),

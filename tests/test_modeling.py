@@ -88,8 +88,11 @@ def test_combine_scores_handles_undefined_values(spark):
     assert [(r["feature"], r["combined_score"]) for r in got] == [("b", 0.5), ("d", 0.25), ("a", 0.0), ("c", 0.0)]
 
 
-def test_held_spreads_few_partitions_and_releases(spark, parts):
+def test_held_caches_spreads_and_releases(parts):
     one = parts["test"].coalesce(1)
     with M.held(one) as (cached,):
-        assert cached.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and cached.is_cached
+        assert cached.is_cached
     assert not cached.is_cached
+    with M.held(one, spread_by=["k"]) as (spread,):
+        used = spread.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert used > 1 and spread.count() == one.count()
