@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -17,16 +19,17 @@ CORRUPT = "_corrupt"
 def parse(messages: DataFrame, schema: T.StructType, required: Sequence[str] = ()) -> DataFrame:
     """(value, data, valid) of ``value`` messages.
 
-    A message is invalid if it is null, not an object of this schema, has a field of the wrong type, or lacks a
-    ``required`` field. Unknown fields are ignored, other missing fields are null.
+    A message is invalid if it is null, not an object of this schema, has a field of the wrong type, fills none of the
+    fields, or lacks a ``required`` one. Unknown fields are ignored, other missing fields are null.
     """
     tagged = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     # the explode of one element keeps filters on the parsed fields from parsing the text again
     parsed = messages.select("value", F.explode(F.array(F.from_json("value", tagged, options))).alias("data"))
-    valid = F.col("data").isNotNull() & F.col(f"data.{CORRUPT}").isNull()
-    for name in required:
-        valid = valid & F.col("data").getField(name).isNotNull()
+    filled = [F.col("data").getField(f.name).isNotNull() for f in schema.fields]
+    needed = [F.col("data").getField(name).isNotNull() for name in required]
+    valid = F.col("data").isNotNull() & F.col(f"data.{CORRUPT}").isNull() & reduce(or_, filled)
+    valid = reduce(and_, needed, valid)
     return parsed.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 

@@ -11,7 +11,7 @@ from outcomelens.streaming import decode, score, score_stream, write_batch
 SCHEMA = T.StructType([
     T.StructField("k", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("kind", T.StringType())])
 GOOD = ['{"k":1,"x":0.5,"kind":"a"}', '{"k":2,"x":0.25}', '{"k":3,"x":1.0,"kind":"b","extra":9}']
-BAD = ['{"k":"four","x":1.0}', '{"k":5,"x":', "junk", None, "[1,2]", '{"x":1.0,"kind":"no key"}']
+BAD = ['{"k":"four","x":1.0}', '{"k":5,"x":', "junk", None, "[1,2]", '{"x":1.0,"kind":"no key"}', "{}", '{"other":1}']
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,8 @@ def model(spark):
 def test_decode_quarantines_everything_unreadable(spark, rows):
     messages = spark.createDataFrame([(m,) for m in GOOD + BAD], "value string")
     records, rejected = decode(messages, SCHEMA, required=["k"])
+    empty = decode(messages.filter("value IN ('{}', '{\"other\":1}')"), SCHEMA)
+    assert empty[0].count() == 0 and empty[1].count() == 2  # not scored as records of nulls
     assert rows(records) == [(1, 0.5, "a"), (2, 0.25, None), (3, 1.0, "b")]
     assert rows(rejected) == sorted([(m,) for m in BAD], key=repr)
 
