@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fertility, token_prefix
+from ..session import scratch_path
+from . import byte_bpe, chat, fertility, token_prefix, url_rules, warc
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +32,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Conversation -7 is added to the table: its texts hold the template's own marks and an escape.
+CONFLICT = "\\### Assistant: </turn> ok"
+
+
+@query(f"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{CONFLICT}' UNION ALL SELECT -7, 1, 'assistant', '{CONFLICT}'),
+e AS (
+    SELECT *, CASE WHEN contains(body, chr(92)) OR contains(body, '### ') OR contains(body, '</turn>') THEN
+        length(body) + (length(body) - length(replace(body, chr(92), '')))
+        + (length(body) - length(replace(body, '</turn>', ''))) // 7 + (length(body) - length(replace(body, '### ', ''))) // 4
+        ELSE length(body) END AS body_chars,
+    CASE WHEN role IN ('user', 'assistant', 'system') THEN length(role) ELSE 1 + length(role) END AS label_chars FROM c)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(body) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(body, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(4 + label_chars + 2 + body_chars + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""")
+def op1_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(CONFLICT).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    text = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return chat.format_conversations(rows).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(text, ""), 256).alias("turns_sha256"),
+        F.length(chat.trained_text()).cast("long").alias("loss_chars"), F.sha2(chat.trained_text(), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 @query()
 def op5_token_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_prefix.prefix_counts(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_MODEL)
@@ -42,6 +75,43 @@ def op7_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_RANKS)
 
 
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, d.payload_digest,
+    CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest""")
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives, parsed = scratch_path(spark, "warc"), scratch_path(spark, "warc-headers")
+    warc.write(table(spark, sf_dir, "pages"), archives)
+    warc.read(spark, archives).write.parquet(parsed)
+    return warc.resolve(spark.read.parquet(parsed)).select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+#: Rules of the query: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query(f"""
+WITH u AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+m AS (
+    SELECT page_id, max_by(struct_pack(rule := rule_host || rule_path, verdict := rule_verdict),
+        length(rule_host) * 100000 + length(rule_path)) AS best
+    FROM h JOIN r ON ('.' || host) LIKE ('%.' || rule_host) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)""")
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules, "page_id", "url")
+
+
 @query()
 def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_MODEL, "lang")
