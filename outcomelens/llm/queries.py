@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, chat, fertility, token_prefix, url_rules, warc
+from . import byte_bpe, chat, decontamination, fertility, jaccard, line_templates, pseudonyms, token_prefix, url_rules, warc
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -64,12 +64,53 @@ def op1_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+#: Key of the query's pseudonyms; a real run takes its own, kept secret.
+PII_KEY = "pseudonym-key-of-the-test-tables"
+
+
+@query()
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", PII_KEY)
+
+
+@query()
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring(docs).withColumnsRenamed({"_lines": "n_lines", "_dropped": "n_dropped"})
+
+
+@query()
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op5_token_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_prefix.prefix_counts(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_MODEL)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@query(r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+    FROM w),
+e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM e a JOIN e b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+    SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+    WHERE 100 * common >= 80 * (len(x.shingles) + len(y.shingles) - common)),
+r AS (
+    WITH RECURSIVE reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
+    SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id FROM s JOIN r ON r.a = doc_id""")
+def op6_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_RANKS)
