@@ -21,7 +21,7 @@ Equal sets are one set from the start. Texts are read twice: for the keys, and,
 A set is named by 64 bits of its hash: two different sets among N share a name with chance N^2 / 2^65.
 
 Cases: null, empty and blank texts have no shingle and are linked with nothing; with fewer than five words the whole sequence is the one shingle; a
-null id is an id, and counts as the least; repeated rows are one document in the result; an empty table gives an empty result; other columns are not read.
+null id yields to any other as a component's least id; rows of one id, repeated or not, are one document in the result; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -352,7 +352,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # one pass over the texts gives both kinds of rows; written together, read apart
     kept = written(both_kinds(spread, id_col), "filed")
     rows = kept.where("n is not null").select("name", "n", "point", F.col(id_col).alias("id"))
-    sets = rows.where("n > 0").groupBy("name").agg(F.min(F.struct("id"))["id"].alias("id"), F.first("n").alias("n"),
+    sets = rows.where("n > 0").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"),
                                                   F.first("point").alias("point"))
     sets = written(sets, "sets-named")
     shared = kept.where("n is null").select("key", "name", "pivot")
@@ -361,10 +361,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     more = written(verified(rest, sets, docs, id_col, text_col), "links-2")
     roots = components(links.unionByName(more))
     grouped = sets.join(roots.toDF("name", "root"), "name", "left").select("name", F.coalesce("root", "name").alias("root"), "id")
-    least = grouped.groupBy("root").agg(F.min(F.struct("id"))["id"].alias("_least"))
+    least = grouped.groupBy("root").agg(F.min("id").alias("_least"))
     of_set = grouped.join(least, "root").select("name", "_least")
     return rows.join(of_set, "name", "left").groupBy("id").agg(
-        F.max("n").cast("long").alias("n_shingles"), F.min(F.when(F.col("n") > 0, F.struct("_least")))["_least"].alias("_c")
+        F.max("n").cast("long").alias("n_shingles"), F.min("_least").alias("_c")
     ).select(F.col("id").alias(id_col), "n_shingles", F.coalesce("_c", "id").alias("component_id"))
 
 
