@@ -44,8 +44,14 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, keep_text: bool = F
     """A row per line with a word: document, place, ``line`` and ``leaf`` as hashes; with ``keep_text`` the line and no place."""
     lines = docs.select(F.col(id_col).alias("_id"), _row(id_col, text_col).alias("_doc"),
                         F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("at", "raw"))
-    masked = F.trim(F.regexp_replace(F.regexp_replace(F.col("raw"), r"[^\x20\x09-\x0D]*\d[^\x20\x09-\x0D]*", ANY), r"[\x20\x09-\x0D]+", " "))
-    lines = lines.withColumn("text", masked).where("text <> ''")
+    lines = lines.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
+    raw = F.col("raw")
+    # each pattern begins where a word does and never goes back, and runs only on lines that need it
+    masked = F.when(raw.rlike("[0-9]"), F.regexp_replace(
+        raw, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", ANY)).otherwise(raw)
+    lines = lines.withColumn("text", masked)
+    plain = F.when(F.col("text").rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace("text", r"[\x20\x09-\x0D]++", " ")).otherwise(F.col("text"))
+    lines = lines.withColumn("text", F.trim(plain))
     begin = F.substring_index("text", " ", LEADING)
     count = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
     named = lines.withColumns({"line": F.xxhash64("text"), "leaf": F.xxhash64(count, begin)})
@@ -138,7 +144,8 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min("first").alias("first"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     drops = hits.join(spread, "template").where(~((F.col("_doc") == F.col("first._doc")) & (F.col("at") == F.col("first.at"))))
     drops = written(drops.groupBy("_doc").agg(F.collect_set("at").alias("_places")), "dropped-places")
-    joined = docs.withColumn("_doc", _row(id_col, text_col)).join(drops, "_doc", "left").drop("_doc")
+    # the same join at every size: both sides are dealt out by document
+    joined = docs.withColumn("_doc", _row(id_col, text_col)).join(drops.hint("merge"), "_doc", "left").drop("_doc")
     return edited(joined, text_col)
 
 
