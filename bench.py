@@ -1,7 +1,7 @@
 """Time the registered queries: one JSON line with seconds per query and their sum.
 
 ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS`` (default 8), ``BENCH_QUERIES`` (comma separated, default all
-but the model fits), ``BENCH_REPEAT`` (default 3, the median counts).
+of them), ``BENCH_REPEAT`` (default 3, the median counts).
 """
 
 from __future__ import annotations

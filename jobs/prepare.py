@@ -7,7 +7,7 @@ from outcomelens.operators.preparation import Preparer, dedup_rows, label_set, t
 from outcomelens.operators.profiling import missing_summary, target_summary
 from outcomelens.operators.splitting import split_name
 from outcomelens.plans.loans import NEGATIVE, POSITIVE, STATUS, TARGET
-from outcomelens.session import settle
+from outcomelens.session import scratch_path
 
 
 def main():
@@ -15,7 +15,9 @@ def main():
         __doc__, "reduced", "classification", "regression", "reports", keep_price=0, impute_target=0)
     spark, preset = start(args, "prepare")
     reduced = spark.read.parquet(args.reduced)
-    rows = settle(dedup_rows(reduced))  # every pass below starts from the written result of the one shuffle
+    distinct = scratch_path(spark, "distinct")  # every pass below reads its columns of the result of the one shuffle
+    dedup_rows(reduced).write.parquet(distinct)
+    rows = spark.read.parquet(distinct)
     save_report(
         reduced.agg(F.count("*").alias("rows_before"))
         .withColumn("rows_after", rows.agg(F.count("*").alias("n")).scalar()), args.reports, "duplicates")

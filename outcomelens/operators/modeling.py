@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -126,12 +125,11 @@ class Comparison:
 
 def compare_classifiers(
     train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str], specs: Sequence[Spec],
-    label: str = "label", exact: bool = False, spread_by: Sequence[str] = (),
+    label: str = "label", spread_by: Sequence[str] = (),
 ) -> Comparison:
     """Fit every spec on train and measure it on test; best is the highest PR-AUC.
 
-    All threshold metrics come from one confusion aggregate. The areas use MLlib's evaluator (thresholds binned) or,
-    with ``exact``, every distinct score.
+    All threshold metrics come from one confusion aggregate, the areas from every distinct score.
     """
     rows, models = [], {}
     with held(train, test, spread_by=spread_by) as (train, test):
@@ -139,12 +137,7 @@ def compare_classifiers(
             model = fit_spec(spec, train, numeric, categorical)
             with held(model.transform(test).select(label, "prediction", "rawPrediction")) as (scored,):
                 row = threshold_metrics(confusion(scored, label)).first().asDict()
-                if exact:
-                    row |= exact_auc(scored, label, vector_to_array("rawPrediction")[1]).first().asDict()
-                else:
-                    for name, metric in (("roc_auc", "areaUnderROC"), ("pr_auc", "areaUnderPR")):
-                        row[name] = round(BinaryClassificationEvaluator(
-                            labelCol=label, rawPredictionCol="rawPrediction", metricName=metric).evaluate(scored), 6)
+                row |= exact_auc(scored, label, vector_to_array("rawPrediction")[1]).first().asDict()
             models[spec.name] = model
             rows.append({"model": spec.name, **row})
     metrics = train.sparkSession.createDataFrame(rows).select(
@@ -163,15 +156,16 @@ def compare_regressors(
 ) -> Comparison:
     """Fit every spec, add the mean baseline; best is the lowest rmse, then mae, then the highest r2."""
     with held(train, test, spread_by=spread_by) as (train, test):
-        base = regression_metrics(with_mean_baseline(train, test, target), target)
+        guessed = with_mean_baseline(train, test, target)
+        base = regression_metrics(guessed, target).withColumn("baseline_mean", guessed.agg(F.first("prediction").alias("m")).scalar())
         rows, models = [{"model": BASELINE, **base.first().asDict()}], {}
         for spec in specs:
             model = fit_spec(spec, train, numeric, categorical, impute=True)
             rows.append({"model": spec.name, **regression_metrics(model.transform(test), target).first().asDict()})
             models[spec.name] = model
     metrics = train.sparkSession.createDataFrame(
-        [(r["model"], r["rmse"], r["mae"], r["r2"], r["mape"], r["n"], r["zero_targets"]) for r in rows],
-        "model string, rmse double, mae double, r2 double, mape double, n long, zero_targets long")
+        [(r["model"], r["rmse"], r["mae"], r["r2"], r["mape"], r["n"], r["zero_targets"], r.get("baseline_mean")) for r in rows],
+        "model string, rmse double, mae double, r2 double, mape double, n long, zero_targets long, baseline_mean double")
     return Comparison(metrics, models, pick_regressor(metrics).first()["model"])
 
 

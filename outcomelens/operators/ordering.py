@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 
-SMALL_REPORT = 100_000
-
 
 def running_before(
     df: DataFrame,
@@ -23,8 +21,10 @@ def running_before(
     sums: dict[str, str],
     by: Sequence[str] = (),
     ranges: int | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add, for each ``new: column`` in ``sums``, the sum of ``column`` over the rows ordered before this one.
+    """Add, for each ``new: column`` in ``sums``, the sum of ``column`` over the rows ordered before this one, and for each in
+    ``totals`` the sum over all rows of the group.
 
     ``df`` holds one row per (``by``, order value), i.e. it is already grouped, which also makes the ranges
     even whatever the skew of the raw rows. ``by`` columns are not null.
@@ -37,10 +37,14 @@ def running_before(
         .withColumn("_range", F.spark_partition_id())
     )
     # at most one row per range and group crossing it
-    offsets = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{new}") for new, c in sums.items()])
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals or {}
+    wanted = sorted({*sums.values(), *totals.values()})
+    offsets = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in wanted])
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select(
-        *by, "_range", *[F.coalesce(F.sum(f"_t_{new}").over(earlier), F.lit(0)).alias(f"_o_{new}") for new in sums]
+        *by, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{new}") for new, c in sums.items()],
+        *[F.sum(f"_t_{c}").over(group).alias(new) for new, c in totals.items()],
     )
     inside = (
         Window.partitionBy(*by, "_range").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
@@ -54,10 +58,10 @@ def running_before(
     )
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float = 0.5) -> DataFrame:
-    """(column, value): the smallest present value whose cumulative share reaches ``q``, nulls and NaN left out.
+def quantile_table(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(column, values): for each of ``shares`` the smallest present value whose cumulative share reaches it, nulls and NaN left out.
 
-    All columns are counted in one pass; a column without values gives no row.
+    All columns are counted in one pass and all shares read from one ordering; a column without values gives no row.
     """
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
@@ -67,39 +71,38 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float = 0.5) -> Da
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("column", "value").agg(F.count("*").alias("n"))
     )
-    placed = running_before(counts, [F.col("value")], {"before": "n"}, by=["column"])
-    # the first value whose running count reaches q * total; totals come from the same grouped rows
-    totals = placed.groupBy("column").agg(F.sum("n").alias("total"))
-    reached = placed.join(F.broadcast(totals), "column").filter(  # one row per named column
-        F.col("before") + F.col("n") >= F.ceil(F.col("total") * F.lit(q))
-    )
-    return reached.groupBy("column").agg(F.min("value").alias("value"))
+    placed = running_before(counts, [F.col("value")], {"before": "n"}, by=["column"], totals={"total": "n"})
+    here = F.col("before") + F.col("n")
+    reached = [F.min(F.when(here >= F.ceil(F.col("total") * F.lit(q)), F.col("value"))) for q in shares]
+    return placed.groupBy("column").agg(F.array(*reached).alias("values"))
 
 
-def dense_ranks(
-    df: DataFrame,
-    ranks: dict[str, Column],
-    within: Sequence[str] = (),
-    rows_at_most: int | None = None,
-) -> DataFrame:
-    """Add ``dense_rank`` columns, highest value first.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float = 0.5) -> DataFrame:
+    """(column, value): the smallest present value whose cumulative share reaches ``q``; see ``quantile_table``."""
+    return quantile_table(df, columns, [q]).select("column", F.col("values")[0].alias("value"))
+
 
-    ``ranks`` maps the new column to the ranked expression. With ``within`` the rank restarts per group. Without
-    it, a report whose size the caller can prove small (``rows_at_most``, e.g. a product of band counts) is
-    ranked by one window; any other report goes through ``running_before`` on its distinct values.
+def dense_ranks(df: DataFrame, ranks: dict[str, Column], within: Sequence[str] = ()) -> DataFrame:
+    """Add ``dense_rank`` columns, highest value first, null last.
+
+    ``ranks`` maps the new column to the ranked expression; with ``within`` the rank restarts per group. The report is
+    written out once. The distinct values of all ranks of a type are ordered together, distributed by ``running_before``, so
+    neither a large report nor a large group is ordered by one task.
     """
-    if within or (rows_at_most is not None and rows_at_most <= SMALL_REPORT):
-        window = Window.partitionBy(*within)
-        return df.withColumns({
-            name: F.dense_rank().over(window.orderBy(value.desc())).cast("long") for name, value in ranks.items()
-        })
     report = settle(df.withColumns({f"_v_{name}": value for name, value in ranks.items()}))
+    kinds: dict = {}
     for name in ranks:
-        value = f"_v_{name}"
-        distinct = report.groupBy(value).agg(F.lit(1).alias("_one"))
-        placed = running_before(distinct, [F.col(value).desc()], {"_before": "_one"})
-        placed = placed.select(
-            F.col(value).alias("_value"), (F.col("_before") + 1).cast("long").alias(name)
-        )
-        report = report.join(placed, F.col(value).eqNullSafe(F.col("_value")), "left").drop("_value")
-    return report.drop(*[f"_v_{name}" for name in ranks])
+        kinds.setdefault(report.schema[f"_v_{name}"].dataType.simpleString(), []).append(name)
+    group = F.to_json(F.struct(*within)) if within else F.lit("")
+    ranked = report.withColumn("_group", group)
+    for names in kinds.values():
+        values = F.explode(F.array(*[F.struct(F.lit(n).alias("_rank"), F.col(f"_v_{n}").alias("_value")) for n in names]))
+        distinct = ranked.select("_group", values.alias("_cell")).select("_group", "_cell.*").distinct()
+        placed = running_before(
+            distinct.withColumn("_one", F.lit(1)), [F.col("_value").desc()], {"_before": "_one"}, by=["_group", "_rank"])
+        for name in names:
+            own = placed.filter(F.col("_rank") == name).select(
+                F.col("_group").alias("_g"), F.col("_value").alias("_x"), (F.col("_before") + 1).cast("long").alias(name))
+            same = (F.col("_group") == F.col("_g")) & F.col(f"_v_{name}").eqNullSafe(F.col("_x"))
+            ranked = ranked.join(own, same, "left").drop("_g", "_x")
+    return ranked.select(*[c for c in df.columns if c not in ranks], *ranks)

@@ -82,7 +82,7 @@ class Preparer:
     groups: ColumnGroups
     date_parts: dict[str, str] = field(default_factory=dict)
     day_spans: dict[str, tuple[str, str]] = field(default_factory=dict)
-    exact: bool = False
+    exact: bool = True
     impute_target: bool = False
     fill: dict[str, float] = field(default_factory=dict)
 

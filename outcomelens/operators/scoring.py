@@ -4,65 +4,78 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import QuantileDiscretizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .correlation import corr_with_target
 from .modeling import held
+from .ordering import quantile_table
 
 SEED = 42
+LEAST_BINS = 32
 
 
-def _name_of(features: Sequence[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(f) for f in features]), index.cast("int") + 1)
-
-
-def discrete_vectors(
+def discrete_columns(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, buckets: int = 5
 ) -> DataFrame:
-    """(label, features): numeric columns in quantile buckets, categories as indices.
-
-    All numeric columns share one quantile job and all categories one counting job.
+    """``label`` and one column per feature: numbers as exact quantile buckets (from 0; a missing value has a bucket of its
+    own, -1), categories as text. All numeric columns share one ordering.
     """
-    stages, inputs = [], []
+    splits = {}
     if numeric:
-        outputs = [f"{c}__bucket" for c in numeric]
-        stages.append(QuantileDiscretizer(
-            inputCols=list(numeric), outputCols=outputs, numBuckets=buckets, handleInvalid="keep"))
-        inputs += outputs
-    if categorical:
-        outputs = [f"{c}__index" for c in categorical]
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=outputs, handleInvalid="keep"))
-        inputs += outputs
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
-    return Pipeline(stages=stages).fit(df).transform(df).select(label, "features")
+        shares = [i / buckets for i in range(1, buckets)]
+        splits = {r["column"]: sorted(set(r["values"])) for r in quantile_table(df, numeric, shares).collect()}  # a row per column
 
+    def bucket(c: str) -> Column:
+        value = F.col(c).cast("double")
+        steps = [F.when(value >= F.lit(float(x)), 1).otherwise(0) for x in splits.get(c, [])]
+        return F.when(value.isNull() | F.isnan(value), -1).otherwise(sum(steps, F.lit(0))).cast("int").alias(c)
+
+    return df.select(label, *map(bucket, numeric), *[F.col(c).cast("string").alias(c) for c in categorical])
 
-def chi_square(vectors: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """(feature, statistic, degrees_of_freedom, p_value) of each discrete feature against the label."""
-    return ChiSquareTest.test(vectors, "features", label, flatten=True).select(
-        _name_of(features, F.col("featureIndex")).alias("feature"),
-        F.col("statistic"),
-        F.col("degreesOfFreedom").cast("long").alias("degrees_of_freedom"),
-        F.col("pValue").alias("p_value"),
-    )
+
+def chi_square(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """(feature, statistic, degrees_of_freedom) of each discrete column against the label, null being a value.
+
+    One grouped count over (feature, value, label), merged before the shuffle; any number of values.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features]))
+    cells = df.select(F.col(label).alias("_y"), pairs.alias("_p")).groupBy("_p.feature", "_p.value", "_y").agg(F.count("*").alias("o"))
+    rows = cells.groupBy("feature", "value").agg(F.sum("o").alias("r"), F.collect_list(F.struct("_y", "o")).alias("cells"))  # a label each
+    by_label = cells.groupBy("feature", "_y").agg(F.sum("o").alias("c"))
+    margins = by_label.groupBy("feature").agg(F.sum("c").alias("n"), F.count("*").alias("labels"))
+    margin = by_label.select(F.col("feature").alias("_f"), F.col("_y").alias("_z"), "c")
+    same = (F.col("feature") == F.col("_f")) & F.col("_y").eqNullSafe(F.col("_z"))
+    cell = rows.select("feature", "r", F.inline("cells")).join(margin, same)
+    sums = cell.groupBy("feature").agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c").cast("double"))).alias("s"))
+    values = rows.groupBy("feature").agg(F.count("*").alias("values"))
+    return sums.join(margins, "feature").join(values, "feature").select(
+        "feature", (F.col("n") * (F.col("s") - 1)).alias("statistic"),
+        ((F.col("values") - 1) * (F.col("labels") - 1)).alias("degrees_of_freedom"))
 
 
 def forest_importance(
-    vectors: DataFrame, features: Sequence[str], label: str, regression: bool = False, trees: int = 80, depth: int = 6,
-    seed: int = SEED,
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, regression: bool = False, trees: int = 80,
+    depth: int = 6, seed: int = SEED,
 ) -> DataFrame:
-    """(feature, importance) of a random forest on the given vectors, one slot per feature."""
+    """(feature, importance) of a random forest, one slot per feature. Trees get as many bins as the largest category has values."""
+    features, stages, bins = [*numeric, *categorical], [], LEAST_BINS
+    if categorical:
+        indexer = StringIndexer(inputCols=list(categorical), outputCols=[f"{c}__index" for c in categorical], handleInvalid="keep").fit(df)
+        bins = max(bins, *(len(labels) + 1 for labels in indexer.labelsArray))
+        stages.append(indexer)
+    inputs = [*numeric, *[f"{c}__index" for c in categorical]]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
+    vectors = PipelineModel(stages).transform(df).select(label, "features")
     forest = RandomForestRegressor if regression else RandomForestClassifier
-    model = forest(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
+    model = forest(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, maxBins=bins).fit(vectors)
     values = model.featureImportances.toArray()
     rows = [(f, float(v)) for f, v in zip(features, values)]
-    return vectors.sparkSession.createDataFrame(rows, "feature string, importance double")
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
 def max_normalised(score: Column, everything) -> Column:
@@ -106,10 +119,9 @@ def classification_scores(
     """Chi-square statistic and forest importance per feature, combined and ranked."""
     features = [*numeric, *categorical]
     with held(train, spread_by=spread_by) as (cached,):
-        vectors = discrete_vectors(cached, numeric, categorical, label)
-        with held(vectors) as (vectors,):
-            chi = chi_square(vectors, features, label).select("feature", "statistic").collect()  # one row per column
-            forest = forest_importance(vectors, features, label, trees=trees, depth=depth)
+        with held(discrete_columns(cached, numeric, categorical, label)) as (discrete,):
+            chi = chi_square(discrete, features, label).select("feature", "statistic").collect()  # one row per column
+            forest = forest_importance(discrete, numeric, categorical, label, trees=trees, depth=depth)
     chi = train.sparkSession.createDataFrame(chi, "feature string, chi_square_score double")
     scores = chi.join(forest.withColumnRenamed("importance", "random_forest_importance"), "feature")
     return combine_scores(
@@ -121,16 +133,8 @@ def regression_scores(
     top_k: int | None = None, spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Absolute target correlation (numeric only) and forest importance per feature, combined and ranked."""
-    features = [*numeric, *categorical]
-    stages = []
-    if categorical:
-        stages.append(StringIndexer(
-            inputCols=list(categorical), outputCols=[f"{c}__index" for c in categorical], handleInvalid="keep"))
-    stages.append(VectorAssembler(
-        inputCols=[*numeric, *[f"{c}__index" for c in categorical]], outputCol="features", handleInvalid="keep"))
     with held(train, spread_by=spread_by) as (cached,):
-        vectors = Pipeline(stages=stages).fit(cached).transform(cached).select(target, "features")
-        forest = forest_importance(vectors, features, target, regression=True, trees=trees, depth=depth)
+        forest = forest_importance(cached, numeric, categorical, target, regression=True, trees=trees, depth=depth)
     corr = corr_with_target(train, numeric, target).select("feature", F.col("abs_r").alias("absolute_correlation"))
     scores = forest.withColumnRenamed("importance", "random_forest_importance").join(corr, "feature", "left")
     return combine_scores(

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import quoted
@@ -22,13 +21,6 @@ def key_column(key) -> Column:
     return F.col(key) if isinstance(key, str) else key
 
 
-def segments_at_most(keys: dict) -> int | None:
-    """Upper bound on the number of segments; known only when every key is a band."""
-    if all(isinstance(key, tuple) for key in keys.values()):
-        return math.prod(len(key[0].labels) for key in keys.values())
-    return None
-
-
 def bad_rate_pct(outcome: Column, digits: int = 2) -> Column:
     """Bad share of the resolved rows in percent; null when none is resolved."""
     return round_to(F.avg(outcome) * 100, digits)
@@ -60,24 +52,16 @@ def segment_report(
 
     ``keys`` maps output names to a column, or to ``(Band, source column)``. Rows with a null in ``require`` are
     left out; segments below ``min_rows`` too. ``correlations`` (name -> pair) attaches correlations over the *whole*
-    table to each row. With banded keys they come out of the same scan, as pooled segment moments; with keys of
-    unknown cardinality they are a one-row scalar subquery.
+    table to each row, by a one-row scalar subquery.
     """
     columns = {name: key_column(key) for name, key in keys.items()}
     total = F.count("*").alias(count_as)
-    if correlations and segments_at_most(keys) is not None:
-        report = _report_with_pooled_correlations(
-            df, columns, measures, require, count_as, correlations, digits
-        )
-    else:
-        report = (
-            df.filter(_present(require)) if require else df
-        ).groupBy(*[c.alias(name) for name, c in columns.items()]).agg(
-            total, *[m.alias(name) for name, m in measures.items()]
-        )
+    rows = df.filter(_present(require)) if require else df
+    report = rows.groupBy(*[c.alias(name) for name, c in columns.items()]).agg(
+        total, *[m.alias(name) for name, m in measures.items()])
     if min_rows:
         report = report.filter(F.col(count_as) >= min_rows)
-    if correlations and segments_at_most(keys) is None:
+    if correlations:
         whole = df.select(F.struct(*[
             round_to(safe_corr(a, b), digits).alias(name) for name, (a, b) in correlations.items()
         ]).alias("c"))
@@ -85,42 +69,3 @@ def segment_report(
             *report.columns, *[F.col("_whole")[name].alias(name) for name in correlations]
         )
     return report
-
-
-def _report_with_pooled_correlations(df, columns, measures, require, count_as, correlations, digits):
-    """Segments and whole-table correlations in one aggregate.
-
-    Rows left out of the report form one more group. Each group carries, per pair, its count, means and
-    centred second moments; the groups (a bounded number) are then pooled with the parallel-variance formula.
-    """
-    kept = _present(require)
-    moments = []
-    for i, (a, b) in enumerate(correlations.values()):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        moments += [
-            F.regr_count(y, x).alias(f"_n{i}"),
-            *[F.coalesce(moment(y, x), F.lit(0.0)).alias(f"_{name}{i}") for name, moment in (
-                ("mx", F.regr_avgx), ("my", F.regr_avgy), ("xx", F.regr_sxx), ("yy", F.regr_syy), ("xy", F.regr_sxy))],
-        ]
-    groups = df.groupBy(
-        kept.alias("_kept"), *[F.when(kept, c).alias(name) for name, c in columns.items()]
-    ).agg(F.count("*").alias(count_as), *[m.alias(name) for name, m in measures.items()], *moments)
-
-    everything = Window.partitionBy()  # at most product(band labels) + 1 rows
-    means, pooled = {}, {}
-    for i, name in enumerate(correlations):
-        n = F.col(f"_n{i}")
-        for axis in "xy":
-            means[f"_g{axis}{i}"] = F.try_divide(
-                F.sum(n * F.col(f"_m{axis}{i}")).over(everything), F.sum(n).over(everything)
-            )
-        dx = F.col(f"_mx{i}") - F.col(f"_gx{i}")
-        dy = F.col(f"_my{i}") - F.col(f"_gy{i}")
-        xx = F.sum(F.col(f"_xx{i}") + n * dx * dx).over(everything)
-        yy = F.sum(F.col(f"_yy{i}") + n * dy * dy).over(everything)
-        xy = F.sum(F.col(f"_xy{i}") + n * dx * dy).over(everything)
-        pooled[name] = round_to(F.try_divide(xy, F.sqrt(xx * yy)), digits)
-    return (
-        groups.withColumns(means).withColumns(pooled).filter("_kept")
-        .select(*columns, count_as, *measures, *correlations)
-    )

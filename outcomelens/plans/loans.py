@@ -15,7 +15,7 @@ from ..config import ColumnGroups, DropGroup
 from ..functions import Band, eq, ge, le, lt, mean, outcome, share_pct
 from ..operators.correlation import corr_scalars
 from ..operators.ordering import dense_ranks
-from ..operators.segments import bad_rate_all, bad_rate_pct, segment_report, segments_at_most
+from ..operators.segments import bad_rate_all, bad_rate_pct, segment_report
 from ..operators.temporal import quarter_change
 
 STATUS, TARGET = "LoanStatus", "BorrowerAPR"
@@ -151,7 +151,7 @@ class LoanPreset:
             return dense_ranks(report(keys, *args, **kwargs), {
                 price: F.col("avg_apr"),
                 "default_risk_rank": F.coalesce("bad_loan_rate_percent", F.lit(-1.0)),
-            }, rows_at_most=segments_at_most(keys)).orderBy(price, "default_risk_rank")
+            }).orderBy(price, "default_risk_rank")
 
         owner = F.when(F.col("IsBorrowerHomeowner"), "Homeowner").otherwise("Non-Homeowner")
         now = {"delinquency_group": (DELINQUENT_NOW, "CurrentDelinquencies")}

@@ -6,6 +6,9 @@ exceeds 45000. Settings are small; the operators' defaults are the full ones.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -20,11 +23,12 @@ from ..operators.splitting import ClassWeights, hash_split
 from ..session import scratch_path
 from ..streaming import score
 from .registry import query
-from .tables import RECORDS_SQL, ROW_KEY, TARGET, Tables
+from .tables import BUCKET_SQL, RECORDS_SQL, ROW_KEY, TARGET, Tables
 
 KEYS = ", ".join(ROW_KEY)
 NUMERIC = ["l_quantity", "l_discount", "l_tax", "discount_n"]
 CATEGORICAL = ["l_linestatus", "l_returnflag"]
+AUC_FLOOR = 0.9
 SMALL_CLASSIFIERS = dict(lr_iter=15, trees=5, forest_depth=4, boost_iter=5, boost_depth=3)
 SMALL_REGRESSORS = dict(lr_iter=15, trees=5, forest_depth=4, boost_iter=5, boost_depth=3, step=0.3)
 
@@ -66,16 +70,23 @@ def chi_square_fixed_bands(t: Tables):
         F.when(F.col("l_quantity") < 10, 0.0).when(F.col("l_quantity") < 30, 1.0).otherwise(2.0).alias("quantity_band"),
         F.col("discount_n").cast("double").alias("discount_n"),
         F.when(F.col("l_linestatus") == "F", 0.0).otherwise(1.0).alias("l_linestatus"))
-    vectors = Pipeline(stages=modeling.feature_stages(features, [])).fit(coded).transform(coded)
-    found = scoring.chi_square(vectors.select("label", "features"), features, "label")
+    found = scoring.chi_square(coded, features, "label")
     return found.select("feature", F.round("statistic", 4).alias("statistic"), "degrees_of_freedom")
 
 
-@query("chi_square_scores")
+def _bucket_code(column: str) -> str:
+    """Bucket number of a column: how many distinct fifths of all values it reaches."""
+    fifths = f"(SELECT list_distinct(quantile_disc({column}, [0.2, 0.4, 0.6, 0.8])) FROM {LABEL_SQL})"
+    return f"len(list_filter({fifths}, lambda s: {column} >= s))"
+
+
+@query("chi_square_scores", " UNION ALL ".join(
+    [_chi_sql(c, "code").replace(LABEL_SQL, f"(SELECT label, {_bucket_code(c)} AS code FROM {LABEL_SQL})") for c in NUMERIC]
+    + [_chi_sql(c, c) for c in CATEGORICAL]))
 def chi_square_scores(t: Tables):
-    with modeling.held(parts(t)["train"], spread_by=ROW_KEY) as (train,):
-        vectors = scoring.discrete_vectors(train, NUMERIC, CATEGORICAL, "label")
-        return scoring.chi_square(vectors, [*NUMERIC, *CATEGORICAL], "label")  # tested here, one row per feature
+    discrete = scoring.discrete_columns(learnable(t), NUMERIC, CATEGORICAL, "label")
+    found = scoring.chi_square(discrete, [*NUMERIC, *CATEGORICAL], "label")
+    return found.select("feature", F.round("statistic", 4).alias("statistic"), "degrees_of_freedom")
 
 
 SCORED = ["l_quantity", "l_discount", "tax_known", "tax_sparse"]
@@ -168,19 +179,47 @@ def _weighted(t: Tables):
     return weights.transform(split["train"]), split["test"]
 
 
-@query("train_classifiers")
+TEST_SQL = f"(SELECT * FROM {LABEL_SQL} WHERE {BUCKET_SQL} % 10 BETWEEN 7 AND 8)"
+
+
+@query("train_classifiers", f"""
+    SELECT unnest(['Logistic Regression', 'Random Forest', 'GBTClassifier']) AS model,
+        (SELECT count(*) FROM {TEST_SQL}) AS n, (SELECT count(*) FROM {TEST_SQL} WHERE label = 1) AS positives, TRUE AS learns""")
 def train_classifiers(t: Tables):
+    """Per model the test rows and positives that its confusion adds up to, and whether it learns the rule: a ROC area of 0.9 or
+    more with the price among the features. The full metrics are the operator's."""
     train, test = _weighted(t)
     specs = modeling.classifier_specs(**SMALL_CLASSIFIERS)
-    return modeling.compare_classifiers(train, test, NUMERIC, CATEGORICAL, specs, spread_by=ROW_KEY).metrics
+    found = modeling.compare_classifiers(train, test, [*NUMERIC, TARGET], CATEGORICAL, specs, spread_by=ROW_KEY).metrics
+    return found.select(
+        "model", F.expr("tn + fp + fn + tp").alias("n"), F.expr("tp + fn").alias("positives"),
+        ((F.col("roc_auc") >= AUC_FLOOR) & F.col("roc_auc").between(0, 1) & F.col("pr_auc").between(0, 1)).alias("learns"))
 
 
-@query("train_regressors")
+PRICES_SQL = f"(SELECT *, {BUCKET_SQL} % 10 < 8 AS train FROM lineitem)"
+
+
+@query("train_regressors", f"""
+    WITH base AS (SELECT avg(l_extendedprice) AS m FROM {PRICES_SQL} WHERE train),
+    e AS (SELECT l_extendedprice AS y, l_extendedprice - m AS d, m FROM {PRICES_SQL}, base WHERE NOT train)
+    SELECT model, (SELECT count(*) FROM e) AS n, (SELECT count(*) FROM e WHERE y = 0) AS zero_targets,
+        model <> 'Baseline Mean Predictor' AS beats_the_mean,
+        CASE WHEN model = 'Baseline Mean Predictor' THEN (SELECT round(sqrt(avg(d * d)), 3) FROM e) END AS baseline_rmse,
+        CASE WHEN model = 'Baseline Mean Predictor' THEN (SELECT round(avg(abs(d)), 3) FROM e) END AS baseline_mae,
+        CASE WHEN model = 'Baseline Mean Predictor' THEN (SELECT round(max(m), 3) FROM e) END AS baseline_mean
+    FROM (SELECT unnest(['Baseline Mean Predictor', 'Linear Regression', 'Random Forest Regressor', 'GBTRegressor']) AS model)""")
 def train_regressors(t: Tables):
+    """Per model the test rows and whether it beats the train mean (the label, a cut of the price, is among the features); for that mean its errors. The full metrics are the operator's."""
     split = hash_split(learnable(t), ROW_KEY, {"train": 8, "test": 2})
     specs = modeling.regressor_specs(TARGET, **SMALL_REGRESSORS)
-    return modeling.compare_regressors(
-        split["train"], split["test"], NUMERIC, CATEGORICAL, TARGET, specs, spread_by=ROW_KEY).metrics
+    found = modeling.compare_regressors(
+        split["train"], split["test"], [*NUMERIC, "label"], CATEGORICAL, TARGET, specs, spread_by=ROW_KEY).metrics
+    is_base = F.col("model") == modeling.BASELINE
+    base = found.where(is_base).select("rmse").scalar()
+    return found.select(
+        "model", "n", "zero_targets", (F.col("rmse") < base).alias("beats_the_mean"),
+        *[F.when(is_base, F.round(c, 3)).alias(name) for c, name in (
+            ("rmse", "baseline_rmse"), ("mae", "baseline_mae"), ("baseline_mean", "baseline_mean"))])
 
 
 def forest(train):
@@ -189,15 +228,29 @@ def forest(train):
         return modeling.fit_spec(spec, cached, NUMERIC, CATEGORICAL)
 
 
-@query("importance_rollup")
+FEATURES_SQL = "(SELECT unnest({}) AS feature, 'numeric' AS feature_type UNION ALL SELECT unnest({}), 'categorical')".format(NUMERIC, CATEGORICAL)
+
+
+@query("importance_rollup", f"""
+    SELECT feature, feature_type, TRUE AS share_in_range, CAST(100 AS DOUBLE) AS all_shares, 21 AS all_ranks FROM {FEATURES_SQL}""")
 def importance_rollup(t: Tables):
+    """Every feature with its kind and what must hold of the shares: between 0 and 100, together 100; ranks 1 to 6."""
     train, _ = _weighted(t)
-    return modeling.importance_rollup(forest(train), train, NUMERIC, CATEGORICAL)
+    rolled = modeling.importance_rollup(forest(train), train, NUMERIC, CATEGORICAL)
+    return rolled.select(
+        "feature", "feature_type", F.col("importance_pct").between(0, 100).alias("share_in_range"),
+        F.lit(rolled.agg(F.round(F.sum("importance_pct"), 2)).first()[0]).alias("all_shares"),
+        F.lit(rolled.agg(F.sum("rank")).first()[0]).alias("all_ranks"))
 
 
-@query("model_roundtrip_score")
+@query("model_roundtrip_score", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM lineitem")
 def model_roundtrip_score(t: Tables):
-    train, test = _weighted(t)
-    path = scratch_path(t.spark, "model")
-    forest(train).write().overwrite().save(path)
-    return score(test.drop("label"), modeling.load_model(path), with_time=False)
+    """All rows scored by a fitted model and by the same model saved and loaded: rows, and rows that differ."""
+    train, _ = _weighted(t)
+    path, fitted = scratch_path(t.spark, "model"), forest(train)
+    fitted.write().overwrite().save(path)
+    outputs = ["prediction", "bad_probability", "good_probability", "prediction_label"]
+    first = score(learnable(t).drop("label"), fitted, with_time=False).withColumnsRenamed({c: f"fitted_{c}" for c in outputs})
+    second = score(first, modeling.load_model(path), with_time=False)
+    unequal = reduce(or_, [~F.col(c).eqNullSafe(F.col(f"fitted_{c}")) for c in outputs])
+    return second.agg(F.count("*").alias("n"), F.count_if(unequal).alias("different"))

@@ -65,9 +65,10 @@ def score(
 def write_batch(
     schema: T.StructType, model: PipelineModel, out: str, quarantine: str, required: Sequence[str] = (),
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function. Each batch owns ``batch_id=<n>``, so writing it again replaces it.
+    """``foreachBatch`` function. Each batch owns ``run=<query id>/batch_id=<n>``, so writing it again replaces it.
 
-    The folders belong to one checkpoint: batch numbers restart with a new one.
+    The query id belongs to the checkpoint and survives restarts from it. Batch numbers restart with a new checkpoint, whose
+    batches go to another ``run`` of the same folders.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -75,9 +76,10 @@ def write_batch(
         try:
             if batch.isEmpty():
                 return
+            run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
             records, rejected = split_valid(batch, schema)
-            score(records, model).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-            rejected.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+            score(records, model).write.mode("overwrite").parquet(f"{out}/run={run}/batch_id={batch_id}")
+            rejected.write.mode("overwrite").parquet(f"{quarantine}/run={run}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 

@@ -27,7 +27,7 @@ def parts(spark):
 def comparison(parts):
     weights = ClassWeights.fit(parts["train"])
     specs = M.classifier_specs(lr_iter=20, trees=10, forest_depth=4, boost_iter=5, boost_depth=3)
-    return M.compare_classifiers(weights.transform(parts["train"]), parts["test"], NUMERIC, CATEGORICAL, specs, exact=True)
+    return M.compare_classifiers(weights.transform(parts["train"]), parts["test"], NUMERIC, CATEGORICAL, specs)
 
 
 def test_classifiers_learn_and_best_has_highest_pr_auc(comparison):
@@ -81,6 +81,20 @@ def test_feature_scores(parts):
     assert top.filter("feature = 'kind'").first()["absolute_correlation"] == 0.0
 
 
+def test_categories_beyond_the_usual_number_of_bins(spark):
+    df = spark.range(3000).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("x"),
+                                  F.concat(F.lit("c"), (F.col("id") % 60).cast("string")).alias("kind"), F.col("id").cast("double").alias("price"))
+    ranked = S.classification_scores(df, ["x"], ["kind"], trees=3, depth=3).collect()
+    assert {r["feature"] for r in ranked} == {"x", "kind"}
+    assert S.regression_scores(df, ["x"], ["kind"], "price", trees=3, depth=3).count() == 2
+
+
+def test_chi_square_has_no_limit_on_values(spark):
+    df = spark.range(24_000).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 12_000).alias("x"))
+    row = S.chi_square(df, ["x"], "label").first()
+    assert row["statistic"] == pytest.approx(24_000) and row["degrees_of_freedom"] == 11_999
+
+
 def test_combine_scores_handles_undefined_values(spark):
     df = spark.createDataFrame([("a", float("nan"), -1.0), ("b", 2.0, -2.0), ("c", None, -3.0), ("d", 1.0, -4.0)],
                                "feature string, s double, t double")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from outcomelens.operators.ordering import dense_ranks, exact_quantiles, running_before
@@ -37,8 +38,19 @@ def test_distributed_dense_rank_equals_window(spark, rows):
     data = [(i, draw.choice([None, *range(15)])) for i in range(300)]
     df = spark.createDataFrame(data, "i int, x int")
     ranks = {"r": F.coalesce(F.col("x"), F.lit(-1)), "s": F.col("x") % 4}
-    assert rows(dense_ranks(df, ranks), "i", "x", "r", "s") == rows(
-        dense_ranks(df, ranks, rows_at_most=300), "i", "x", "r", "s")
+    whole = Window.partitionBy()
+    want = df.withColumns({n: F.dense_rank().over(whole.orderBy(v.desc())).cast("long") for n, v in ranks.items()})
+    assert rows(dense_ranks(df, ranks), "i", "x", "r", "s") == rows(want, "i", "x", "r", "s")
+
+
+def test_distributed_rank_inside_groups(spark, rows):
+    draw = random.Random(2)
+    data = [(draw.choice([None, "a", "b"]), draw.choice([None, 1, 2]), float(draw.randrange(30)), str(draw.randrange(9))) for _ in range(400)]
+    df = spark.createDataFrame(data, "g string, h int, x double, t string")
+    ranks = {"r": F.col("x"), "s": F.col("t")}
+    groups = Window.partitionBy("g", "h")
+    want = df.withColumns({n: F.dense_rank().over(groups.orderBy(v.desc())).cast("long") for n, v in ranks.items()})
+    assert rows(dense_ranks(df, ranks, within=["g", "h"])) == rows(want)
 
 
 def test_hot_value_is_one_row_before_ordering(spark):

@@ -60,12 +60,22 @@ def test_stream_scores_equal_batch_scores(spark, model, rows, tmp_path):
 
     columns = ["k", "x", "prediction", "bad_probability", "good_probability", "prediction_label"]
     out = run()
-    assert len(list((tmp_path / "out").glob("batch_id=*"))) == 3
+    assert len(list((tmp_path / "out").glob("run=*/batch_id=*"))) == 3
     assert rows(out, *columns) == rows(score(records, model), *columns)
     assert rows(spark.read.parquet(f"{tmp_path}/bad"), "value") == [("junk",)]
     assert run().count() == 100  # nothing new: nothing written
 
 
+def test_a_new_checkpoint_leaves_earlier_output(spark, model, rows, tmp_path):
+    records = spark.range(30).select(F.col("id").alias("k"), (F.col("id") / 30).alias("x"), F.lit("a").alias("kind"))
+    for half in range(2):  # batch numbers begin at 0 twice
+        publish(records.filter(F.col("k") % 2 == half), "text", f"{tmp_path}/topic{half}")
+        stream = read_message_stream(spark, "text", f"{tmp_path}/topic{half}")
+        score_stream(stream, SCHEMA, model, f"{tmp_path}/out", f"{tmp_path}/bad", f"{tmp_path}/cp{half}", ["k"], every=None).awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r["k"] for r in out.collect()) == list(range(30)) and out.select("run").distinct().count() == 2
+
+
 def test_replayed_batch_leaves_one_copy(spark, model, tmp_path):
     write = write_batch(SCHEMA, model, f"{tmp_path}/out", f"{tmp_path}/bad")
     batch = spark.createDataFrame([(m,) for m in GOOD], "value string")
