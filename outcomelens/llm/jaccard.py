@@ -12,9 +12,9 @@ Two texts link when ``100 * |A and B| >= 80 * |A or B|`` for their sets of disti
    within a factor 1.25 of the next class is filed there too. A set that runs out of groups is filed under its empty groups as well.
 3. *Pivots.* Under each key, every set is paired with the first one. Pairs whose bound is high enough are verified on the full sets, and
    links joined to components. Large groups of near copies are connected here, with a linear number of pairs.
-4. *R-trees.* Keys whose sets are not yet one component get an R-tree over their points; each point asks it for all others of another
-   component that may overlap enough. Only those pairs are verified. Groups under one key of more than ``CELL`` sets are split into
-   cells, pairs of parts of bounded size. Pairs inside one component are not needed: no link can add to it.
+4. *R-trees.* Sets that share a key share its pivot. Pivots whose sets are not yet one component get an R-tree over their points per size
+   class; each point asks it for all others of another component that may overlap enough. Only those pairs are verified. Groups
+   of more than ``CELL`` sets are split into cells, pairs of parts of bounded size. Pairs inside one component are not needed: no link can add to it.
 
 Equal sets are one set from the start. Texts are read twice: for the keys, and, of sets in a pair to verify, for the sets. No pair is dropped.
 
@@ -112,8 +112,8 @@ def file_keys(found: np.ndarray) -> np.ndarray:
 
 
 def point(found: np.ndarray) -> bytes:
-    """Shingles per group, as bytes: half as many groups as the size class begins with, at least four."""
-    count = max(4, 1 << max(0, size_class(len(found)) - 1))
+    """Shingles per group, as bytes: twice as many groups as the size class begins with, at least eight."""
+    count = max(8, 2 << size_class(len(found)))
     group = found >> np.uint64(64 - (count.bit_length() - 1))
     return np.minimum(np.bincount(group.astype(np.int64), minlength=count), 255).astype(np.uint8).tobytes()
 
@@ -305,45 +305,58 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, te
 
 
 def remaining(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and whose bound suffices, found by R-trees in cells."""
-    rows = shared.join(roots.toDF("name", "root"), "name", "left").select("key", "name", F.coalesce("root", "name").alias("root"))
-    rows = rows.join(sets.select("name", "n"), "name").select("key", "name", "root", "n")
-    open_ = rows.groupBy("key").agg(F.min("root").alias("_r0"), F.max("root").alias("_r1"), F.count(F.lit(1)).alias("_rows"))
-    open_ = open_.where("_r0 <> _r1").select("key", F.ceil(F.col("_rows") / CELL).cast("int").alias("parts"))
-    rows = rows.join(open_, "key").withColumn("part", F.pmod(F.hash("name"), "parts").cast("int"))
+    """Pairs (a, b) of different components that share a key and whose bound suffices, found by R-trees in cells.
+
+    Sets that share a key share its pivot: a pivot's sets are one group, whatever keys they share with it.
+    """
+    rows = shared.select("pivot", "name").unionByName(shared.select("pivot", F.col("pivot").alias("name"))).distinct()
+    rows = rows.join(roots.toDF("name", "root"), "name", "left").select("pivot", "name", F.coalesce("root", "name").alias("root"))
+    open_ = rows.groupBy("pivot").agg(F.min("root").alias("_r0"), F.max("root").alias("_r1"), F.count(F.lit(1)).alias("_rows"))
+    open_ = open_.where("_r0 <> _r1").select("pivot", F.ceil(F.col("_rows") / CELL).cast("int").alias("parts"))
+    rows = rows.join(open_, "pivot").withColumn("part", F.pmod(F.hash("name"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "name", "root", "n")
-    cells = cells.join(sets.select("name", "point"), "name").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "name")
+    cells = rows.select("pivot", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "name", "root")
+    cells = cells.join(sets.select("name", "n", "point"), "name").repartition("pivot", "i", "j").sortWithinPartitions(
+        "pivot", "i", "j", "n", "name")
 
     def run(found: Iterable[tuple]) -> Iterator[tuple]:
         cell, held = None, []
-        for key, i, j, *entry in found:
-            if (key, i, j) != cell:
+        for pivot, i, j, *entry in found:
+            if (pivot, i, j) != cell:
                 yield from in_cell(held, cell)
-                cell, held = (key, i, j), []
+                cell, held = (pivot, i, j), []
             held.append(entry)
         yield from in_cell(held, cell)
 
     ends = [StructField("a", LongType()), StructField("b", LongType())]
-    return map_rows(cells.select("key", "i", "j", "part", "name", "root", "n", "point"), ends, run)
+    return map_rows(cells.select("pivot", "i", "j", "part", "name", "root", "n", "point"), ends, run)
 
 
 def in_cell(held: list, cell) -> Iterator[tuple]:
-    """Pairs of a cell whose entries (part, name, root, n, point) are in order of n; in a cell of two parts, those across."""
+    """Pairs of a cell whose entries (part, name, root, n, point) are in order of n; in a cell of two parts, those across.
+
+    A size class is searched for its own sets and for those of the class below, whose coarser groups both then have.
+    """
     if len(held) < 2:
         return
     part, name, root, n = (np.array([e[k] for e in held], np.int64) for k in range(4))
-    width = min(len(e[4]) for e in held)
-    corners = points([e[4] for e in held], width)
-    tree = RTree(corners, n)
+    level = np.array([size_class(int(x)) for x in n])
     across = cell[1] != cell[2]
-    for x in range(len(held)):
-        found = tree.search(corners[x], int(n[x]))
-        found = found[(found > x) & (root[found] != root[x])]
-        if across:
-            found = found[part[found] != part[x]]
-        for y in found:
-            yield int(name[x]), int(name[y])
+    for upper in np.unique(level):
+        there = np.flatnonzero(level == upper)
+        for lower in (upper, upper - 1):
+            asking = np.flatnonzero(level == lower)
+            if not len(asking):
+                continue
+            width = len(held[asking[0]][4])
+            tree = RTree(points([held[x][4] for x in there], width), n[there])
+            for x, at in zip(asking, points([held[x][4] for x in asking], width)):
+                found = there[tree.search(at, int(n[x]))]
+                found = found[(found > x) & (root[found] != root[x])]
+                if across:
+                    found = found[part[found] != part[x]]
+                for y in found:
+                    yield int(name[x]), int(name[y])
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,7 +368,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sets = rows.where("n > 0").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"),
                                                   F.first("point").alias("point"))
     sets = written(sets, "sets-named")
-    shared = kept.where("n is null").select("key", "name", "pivot")
+    shared = kept.where("n is null").select("name", "pivot").distinct()
+    shared = written(shared, "pivots")
     links = written(verified(shared.select(F.col("name").alias("a"), F.col("pivot").alias("b")), sets, docs, id_col, text_col), "links-1")
     rest = written(remaining(shared, components(links), sets), "rest")
     more = written(verified(rest, sets, docs, id_col, text_col), "links-2")
