@@ -20,6 +20,7 @@ from .evaluation import best_model, confusion, exact_auc, regression_metrics, th
 SEED = 42
 INDEX, ONEHOT, FILLED = "__index", "__onehot", "__filled"
 ASSEMBLED = "assembled"
+# Names of the models, here and in the specs below, whose settings are fixed defaults too.
 BASELINE = "Baseline Mean Predictor"
 
 

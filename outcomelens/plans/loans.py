@@ -66,6 +66,7 @@ class LoanPreset:
 
     def drop_groups(self) -> list[DropGroup]:
         """The thirteen domain-reduction stages, 81 columns down to 23."""
+        # Columns and stages.
         return [
             DropGroup("initial domain filtering", (
                 "ListingKey", "ListingNumber", "LoanKey", "LoanNumber", "MemberKey", "GroupKey", "LP_CustomerPayments",
@@ -115,6 +116,7 @@ class LoanPreset:
         }
 
     def column_groups(self) -> ColumnGroups:
+        # Columns and their roles.
         return ColumnGroups(
             status=STATUS, target=TARGET,
             numeric=(
