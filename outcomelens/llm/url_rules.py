@@ -28,6 +28,8 @@ from .arrow import id_field, map_rows
 
 SAMPLE = 20_000
 RANGES_PER_PARTITION = 2
+#: The cuts stand in the plan, so there are at most so many; rows stream through a range, which may be of any size.
+MOST_RANGES = 2_000
 
 # Letters that host names fold.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,7 +59,7 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str, default:
     url = F.col(url_col).cast("string")
     placed = urls.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path")).withColumns({
         "_key": key_of(F.col("host")), "_salt": F.xxhash64(F.col(id_col))})
-    cuts = cut_points(placed, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = cut_points(placed, min(MOST_RANGES, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     plain = rules.select(F.translate(F.coalesce(F.col("host").cast("string"), F.lit("")), UPPER, LOWER).alias("host"),
                          F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), "verdict")
     plain = plain.groupBy("host", "path").agg(F.min("verdict").alias("verdict")).withColumn("_key", key_of(F.col("host")))
