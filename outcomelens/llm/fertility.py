@@ -92,12 +92,20 @@ def repeated_words(codes: np.ndarray) -> int:
     if len(codes) < 4:
         return 0
     width = int(codes.max()) + 1
-    pairs = np.unique(codes[:-1] * width + codes[1:], return_inverse=True)[1]  # renumbered, so that triples fit 64 bits
-    _, window, times = np.unique(pairs[:-1] * width + codes[2:], return_inverse=True, return_counts=True)
-    twice = times[window] > 1
+    often = np.bincount(codes)[codes] > 1  # a window can repeat only if each of its words does
+    starts = np.flatnonzero(often[:-2] & often[1:-1] & often[2:])
+    pairs = codes[starts] * width + codes[starts + 1]
+    if width >= 1 << 21:  # renumbered, so that triples fit 64 bits
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    windows = pairs * width + codes[starts + 2]
+    ordered = np.sort(windows)
+    repeated = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(repeated):
+        return 0
+    starts = starts[np.isin(windows, repeated)]
     covered = np.zeros(len(codes), bool)
     for shift in range(3):
-        covered[shift:shift + len(twice)] |= twice
+        covered[starts + shift] = True
     return int(covered.sum())
 
 
@@ -118,9 +126,10 @@ def measures(ids: list[bytes], codes: np.ndarray, pieces: Fertility, chars: int)
         return None, None, None
     tokens = np.frombuffer(b"".join(ids), pieces.kind)
     lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // tokens.itemsize
-    times = np.bincount(tokens, np.repeat(np.bincount(codes), lengths), len(pieces.is_byte))
-    n = int(times.sum())
-    single = float(times[pieces.is_byte].sum())
+    weights = np.repeat(np.bincount(codes), lengths)
+    n = int(weights.sum())
+    single = int(weights[pieces.is_byte[tokens]].sum())
+    times = np.bincount(tokens, weights)
     times = times[times > 0]
     entropy = math.log2(n) - float((times * np.log2(times)).sum()) / n if n > 1 else 0.0
     return chars / n, single / n, entropy / math.log2(n) if n > 1 else 1.0
