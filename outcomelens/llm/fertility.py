@@ -6,14 +6,19 @@ Three measures per text, over its words (runs of other than the six ASCII white
 * ``byte_share``: share of tokens that are single bytes, that is, characters the vocabulary does not know.
 * ``token_entropy``: entropy of the text's token counts in bits, divided by the logarithm of their number (0..1). Low for repetition.
 
+Judged are the same three without separators (``text_...``; a separator is a word of one repeated mark, as between the cells of a table), and
+
+* ``mark_share``: share of tokens without letter or digit (single bytes aside) in words that are no separators, with the separators in excess of
+  those words. High where symbols hang on the words.
+
 A text is rejected outside its group's band. The group is its language, or the commonest script of its words where no language is given.
 The band is the group's median plus and minus ``width`` times the spread on that side (the distance from the median to the
 first or third quartile), learnt over all rows of the group that pass the base rules; a floor on the spread keeps a
 uniform group from rejecting its own small differences. Measures of short texts scatter more: below the group's median number of
-words the band widens with the square root of median / words. A group of fewer than ``least`` rows takes the band over all rows:
-languages a vocabulary serves badly get a band of their own instead of being rejected for it.
+words (separators aside) the band widens with the square root of median / words. A group of fewer than ``least`` rows takes the band over all rows:
+languages a vocabulary serves badly get a band of their own instead of being rejected for it. ``mark_share`` has no lower limit.
 
-Base counts and rules are in ``base_counts``. Word and line counts are exact. Cases: null and empty texts have no words, so
+Base counts and rules are in ``base_counts``; ``n_symbols`` and ``n_dup_lines`` are for the reader and enter no verdict. Word and line counts are exact. Cases: null and empty texts have no words, so
 that base rules reject them; repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
 """
 
@@ -39,8 +44,14 @@ SYMBOLS = b"#*$%&|<>"
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = ["chars_per_token", "byte_share", "token_entropy"]
+MARKS = "mark_share"
+JUDGED = [*(f"text_{m}" for m in MEASURES), MARKS]
+#: Words that are no separators.
+TEXT_WORDS = "n_text_words"
 #: Least spread of each measure, so that a group of alike texts still has a band.
-SPREAD_FLOOR = {"chars_per_token": 0.02, "byte_share": 0.02, "token_entropy": 0.02}
+SPREAD_FLOOR = {"text_chars_per_token": 0.02, "text_byte_share": 0.02, "text_token_entropy": 0.02, MARKS: 0.015}
+#: One repeated mark: ASCII, middle dot, dashes and bullets, box drawing.
+SEPARATOR = re.compile(rb"([!-/:-@\[-`{-~]|\xc2\xb7|\xe2\x80[\x90-\xa7]|\xe2[\x94\x95][\x80-\xbf])\1*")
 SCRIPTS = re.compile(r"([A-Za-zÀ-ɏ]+)|([Ͱ-Ͽ]+)|([Ѐ-ӿ]+)|([֐-׿]+)|([؀-ۿ]+)|([ऀ-ॿ]+)|([぀-ヿ]+)|([一-鿿]+)|([가-힯]+)")
 SCRIPT_NAMES = ["Latin", "Greek", "Cyrillic", "Hebrew", "Arabic", "Devanagari", "Kana", "Han", "Hangul"]
 CACHED_WORDS = 300_000
@@ -55,6 +66,9 @@ class Fertility:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.library.get_piece_size()
         self.is_byte = np.array([self.library.is_byte(i) for i in range(size)])
+        pieces = [self.library.id_to_piece(i) for i in range(size)]
+        bare = [p.strip("\u2581") != "" and not any(map(str.isalnum, p)) for p in pieces]  # U+2581: a word's begin
+        self.is_mark = np.array(bare) & ~self.is_byte
         self.kind = "H" if size <= 65536 else "I"
         self.words: dict[bytes, bytes] = {}
 
@@ -120,14 +134,11 @@ def base_counts(text: bytes, codes: np.ndarray) -> tuple[int, int, int, int, int
 NO_LETTER = WHITE + bytes(range(0x80, 0xC0))
 
 
-def measures(ids: list[bytes], codes: np.ndarray, pieces: Fertility, chars: int):
-    """The three measures from the token ids of the distinct words and the words' numbers."""
-    if not len(codes):
-        return None, None, None
-    tokens = np.frombuffer(b"".join(ids), pieces.kind)
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // tokens.itemsize
-    weights = np.repeat(np.bincount(codes), lengths)
+def measures(tokens: np.ndarray, weights: np.ndarray, pieces: Fertility, chars: int):
+    """The three measures from token ids and how often each stands in the text."""
     n = int(weights.sum())
+    if not n:
+        return None, None, None
     single = int(weights[pieces.is_byte[tokens]].sum())
     times = np.bincount(tokens, weights)
     times = times[times > 0]
@@ -135,6 +146,29 @@ def measures(ids: list[bytes], codes: np.ndarray, pieces: Fertility, chars: int)
     return chars / n, single / n, entropy / math.log2(n) if n > 1 else 1.0
 
 
+def all_measures(distinct: list[bytes], codes: np.ndarray, pieces: Fertility, chars: int) -> tuple:
+    """``MEASURES``, ``TEXT_WORDS`` and ``JUDGED`` of a text's words; null without a word, and ``JUDGED`` where all are separators."""
+    if not len(codes):
+        return (*(None,) * len(MEASURES), 0, *(None,) * len(JUDGED))
+    ids = pieces.ids(distinct)
+    tokens = np.frombuffer(b"".join(ids), pieces.kind)
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // tokens.itemsize
+    times = np.bincount(codes)
+    weights = np.repeat(times, lengths)
+    found = measures(tokens, weights, pieces, chars)
+    split = np.fromiter((SEPARATOR.fullmatch(w) is not None for w in distinct), bool, len(distinct))
+    apart, excess, judged = 0, 0, found
+    if split.any():
+        apart = int(times[split].sum())
+        excess = max(0, 2 * apart - len(codes))
+        chars -= sum(int(times[i]) * len(distinct[i].decode()) for i in np.flatnonzero(split))
+        weights = np.where(np.repeat(split, lengths), 0, weights)
+        judged = measures(tokens, weights, pieces, chars)
+    if judged[0] is None:
+        return (*found, 0, *judged, None)
+    return (*found, len(codes) - apart, *judged, (int(weights[pieces.is_mark[tokens]].sum()) + excess) / (int(weights.sum()) + excess))
+
+
 def script_of(text: str) -> str:
     """Script with the most letters; of equal ones the first by name."""
     total: dict[str, int] = {}
@@ -145,7 +179,7 @@ def script_of(text: str) -> str:
 
 
 def measured(df: DataFrame, id_col: str, text_col: str, model: str, lang_col: str | None = None) -> DataFrame:
-    """``id_col``, ``_group`` (language or script), the base counts and the three measures (null without a word)."""
+    """``id_col``, ``_group`` (language or script), the base counts and all measures (null without a word)."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     rows_in = df.select(F.col(id_col), lang.alias("_lang"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text"))
@@ -155,24 +189,25 @@ def measured(df: DataFrame, id_col: str, text_col: str, model: str, lang_col: st
         for key, lang, text in rows:
             distinct, codes = numbered(text.split())  # of bytes: the six ASCII white space characters only
             counts = base_counts(text, codes)
-            found = measures(pieces.ids(distinct), codes, pieces, counts[1])
+            found = all_measures(distinct, codes, pieces, counts[1])
             yield key, lang or script_of(text.decode()), *counts, *found
 
     fields = [id_field(df, id_col), StructField("_group", StringType())]
     fields += [StructField(c, LongType()) for c in COUNTS] + [StructField(c, DoubleType()) for c in MEASURES]
+    fields += [StructField(TEXT_WORDS, LongType())] + [StructField(c, DoubleType()) for c in JUDGED]
     return map_rows(rows_in, fields, run)
 
 
 def bands(rows: DataFrame, least: int) -> DataFrame:
-    """One row per ``_group`` and one for all rows (``_group`` null): median words, median and spreads of each measure.
+    """One row per ``_group`` and one for all rows (``_group`` null): median words, median and spreads of each judged measure.
 
     Percentiles are Spark's mergeable sketches over all rows (relative rank error 1 / 10,000); one shuffle of sketches.
     """
     spread = [0.25, 0.5, 0.75]
     found = rows.rollup("_group").agg(F.count(F.lit(1)).alias("_rows"), F.grouping("_group").alias("_all"),
-                                      *[F.percentile_approx(m, spread, 10_000).alias(m) for m in ["n_words", *MEASURES]])
-    limits = [F.col("n_words")[1].alias("words")]
-    for m in MEASURES:
+                                      *[F.percentile_approx(m, spread, 10_000).alias(m) for m in [TEXT_WORDS, *JUDGED]])
+    limits = [F.col(TEXT_WORDS)[1].alias("words")]
+    for m in JUDGED:
         low, mid, high = (F.col(m)[i] for i in range(3))
         limits += [mid.alias(m), F.greatest(mid - low, F.lit(SPREAD_FLOOR[m])).alias(f"{m}_below"),
                    F.greatest(high - mid, F.lit(SPREAD_FLOOR[m])).alias(f"{m}_above")]
@@ -181,10 +216,10 @@ def bands(rows: DataFrame, least: int) -> DataFrame:
 
 def judge(df: DataFrame, id_col: str, text_col: str, model: str, lang_col: str | None = None, width: float = 6.0,
           least: int = 100, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """``id_col``, base counts, measures, ``base_failed`` and ``kept``: one row per row of ``df``.
+    """``id_col``, base counts, measures, words but separators, judged measures, ``base_failed`` and ``kept``: one row per row of ``df``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of them in repeated windows. ``kept``: base passed
-    and every measure inside the band. Measures are written to the shared folder once, as both the bands and the verdicts need them. The
+    and every judged measure inside the band. Measures are written to the shared folder once, as both the bands and the verdicts need them. The
     bands (one row per language or script) are joined to narrow rows of counts; Spark broadcasts them when they are small.
     """
     spark = df.sparkSession
@@ -197,10 +232,11 @@ def judge(df: DataFrame, id_col: str, text_col: str, model: str, lang_col: str |
     overall = limits.where("_all = 1").select(F.struct(*columns)).scalar()
     own = limits.where("_all = 0").select("_group", F.struct(*columns).alias("_own"))
     judged = rows.join(own, "_group", "left").withColumn("_band", F.coalesce("_own", overall))
-    wide = width * F.greatest(F.lit(1.0), F.sqrt(F.col("_band.words") / F.col("n_words")))
+    wide = width * F.greatest(F.lit(1.0), F.sqrt(F.col("_band.words") / F.greatest(F.lit(1), TEXT_WORDS)))
     inside = F.lit(True)
-    for m in MEASURES:
-        inside = inside & F.col(m).between(F.col(f"_band.{m}") - wide * F.col(f"_band.{m}_below"),
-                                           F.col(f"_band.{m}") + wide * F.col(f"_band.{m}_above"))
-    return judged.select(id_col, *COUNTS, *MEASURES, "base_failed",
+    for m in JUDGED:
+        inside = inside & (F.col(m) <= F.col(f"_band.{m}") + wide * F.col(f"_band.{m}_above"))
+        if m != MARKS:
+            inside = inside & (F.col(m) >= F.col(f"_band.{m}") - wide * F.col(f"_band.{m}_below"))
+    return judged.select(id_col, *COUNTS, *MEASURES, TEXT_WORDS, *JUDGED, "base_failed",
                          (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))

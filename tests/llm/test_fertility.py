@@ -96,3 +96,28 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "x y"), (1, "x y")], "doc_id long, text string")
     assert [r.n_words for r in fertility.judge(df, "doc_id", "text", PIECE_MODEL).collect()] == [2, 2, 2]
     assert fertility.judge(df.limit(0), "doc_id", "text", PIECE_MODEL).collect() == []
+
+
+def kinds(rnd, n=120):
+    """Prose, tables of its words and the same prose with symbols on every word, as (kind, text)."""
+    plain = ["river", "stone", "under", "winter", "yellow", "people", "garden", "mother", "window", "letter", "summer", "evening"]
+    plain = [a + b + c for a in plain for b in plain for c in plain]
+    marks = ["$$$", "&&&", "%%%", "###", "***"]
+    for i in range(n):
+        words = [rnd.choice(plain) + rnd.choice(["", "", "", "", ",", "."]) for _ in range(rnd.randint(60, 400))]
+        yield "plain", " ".join(words)
+        if i % 10 == 0:
+            yield "table", " | ".join(words)
+            yield "symbols", " ".join(w + rnd.choice(marks) for w in words)
+            yield "separators", " ".join(w + " " + " ".join(rnd.choice("|=-*#&%$~+/:;<>@^_!?") for _ in range(9)) for w in words[:60])
+
+
+def test_verdicts_by_kind_of_document(spark):
+    import random
+
+    rows = [(i, kind, text, "en") for i, (kind, text) in enumerate(kinds(random.Random(8)))]
+    df = spark.createDataFrame(rows, "doc_id long, kind string, text string, lang string")
+    judged = fertility.judge(df, "doc_id", "text", PIECE_MODEL, "lang").join(df.select("doc_id", "kind"), "doc_id").collect()
+    found = collections.Counter((r.kind, r.kept) for r in judged)
+    assert not any(r.base_failed for r in judged)
+    assert found == {("plain", True): 120, ("table", True): 12, ("symbols", False): 12, ("separators", False): 12}
