@@ -15,8 +15,9 @@ A text is rejected outside its group's band. The group is its language, or the c
 The band is the group's median plus and minus ``width`` times the spread on that side (the distance from the median to the
 first or third quartile), learnt over all rows of the group that pass the base rules; a floor on the spread keeps a
 uniform group from rejecting its own small differences. Measures of short texts scatter more: below the group's median number of
-words (separators aside) the band widens with the square root of median / words. A group of fewer than ``least`` rows takes the band over all rows:
-languages a vocabulary serves badly get a band of their own instead of being rejected for it. ``mark_share`` has no lower limit.
+words (separators aside) the band widens with the square root of median / words. Every group has a band of its own, so that languages a vocabulary serves
+badly are not rejected for it; it widens with the square root of 1 + ``least`` / rows, without a step at any size. ``mark_share``
+hardly depends on the language: its median and spread are averages of the group's and those of all rows, by rows against ``least``, and it has no lower limit.
 
 Base counts and rules are in ``base_counts``; ``n_symbols`` and ``n_dup_lines`` are for the reader and enter no verdict. Word and line counts are exact. Cases: null and empty texts have no words, so
 that base rules reject them; repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
@@ -198,20 +199,20 @@ def measured(df: DataFrame, id_col: str, text_col: str, model: str, lang_col: st
     return map_rows(rows_in, fields, run)
 
 
-def bands(rows: DataFrame, least: int) -> DataFrame:
-    """One row per ``_group`` and one for all rows (``_group`` null): median words, median and spreads of each judged measure.
+def bands(rows: DataFrame) -> DataFrame:
+    """One row per ``_group`` and one for all rows (``_group`` null): rows, median words, median and spreads of each judged measure.
 
     Percentiles are Spark's mergeable sketches over all rows (relative rank error 1 / 10,000); one shuffle of sketches.
     """
     spread = [0.25, 0.5, 0.75]
     found = rows.rollup("_group").agg(F.count(F.lit(1)).alias("_rows"), F.grouping("_group").alias("_all"),
                                       *[F.percentile_approx(m, spread, 10_000).alias(m) for m in [TEXT_WORDS, *JUDGED]])
-    limits = [F.col(TEXT_WORDS)[1].alias("words")]
+    limits = [F.col("_rows").alias("rows"), F.col(TEXT_WORDS)[1].alias("words")]
     for m in JUDGED:
         low, mid, high = (F.col(m)[i] for i in range(3))
         limits += [mid.alias(m), F.greatest(mid - low, F.lit(SPREAD_FLOOR[m])).alias(f"{m}_below"),
                    F.greatest(high - mid, F.lit(SPREAD_FLOOR[m])).alias(f"{m}_above")]
-    return found.where((F.col("_all") == 1) | (F.col("_rows") >= least)).select("_group", "_all", *limits)
+    return found.select("_group", "_all", *limits)
 
 
 def judge(df: DataFrame, id_col: str, text_col: str, model: str, lang_col: str | None = None, width: float = 6.0,
@@ -227,16 +228,21 @@ def judge(df: DataFrame, id_col: str, text_col: str, model: str, lang_col: str |
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     measured(df, id_col, text_col, model, lang_col).withColumn("base_failed", base_failed).write.parquet(place)
     rows = spark.read.parquet(place)
-    limits = bands(rows.where(~F.col("base_failed")), least)
+    limits = bands(rows.where(~F.col("base_failed")))
     columns = [c for c in limits.columns if c not in ("_group", "_all")]
     overall = limits.where("_all = 1").select(F.struct(*columns)).scalar()
     own = limits.where("_all = 0").select("_group", F.struct(*columns).alias("_own"))
-    judged = rows.join(own, "_group", "left").withColumn("_band", F.coalesce("_own", overall))
-    wide = width * F.greatest(F.lit(1.0), F.sqrt(F.col("_band.words") / F.greatest(F.lit(1), TEXT_WORDS)))
+    judged = rows.join(own, "_group", "left").withColumn("_all", overall)
+    short = width * F.greatest(F.lit(1.0), F.sqrt(F.col("_own.words") / F.greatest(F.lit(1), TEXT_WORDS)))
+    few = F.sqrt(1 + least / F.col("_own.rows"))
     inside = F.lit(True)
     for m in JUDGED:
-        inside = inside & (F.col(m) <= F.col(f"_band.{m}") + wide * F.col(f"_band.{m}_above"))
-        if m != MARKS:
-            inside = inside & (F.col(m) >= F.col(f"_band.{m}") - wide * F.col(f"_band.{m}_below"))
+        if m == MARKS:
+            mid, above = ((F.col("_own.rows") * F.col(f"_own.{c}") + least * F.col(f"_all.{c}")) / (F.col("_own.rows") + least)
+                          for c in (m, f"{m}_above"))
+            inside = inside & (F.col(m) <= mid + short * above)
+        else:
+            mid, below, above = (F.col(f"_own.{c}") for c in (m, f"{m}_below", f"{m}_above"))
+            inside = inside & F.col(m).between(mid - short * few * below, mid + short * few * above)
     return judged.select(id_col, *COUNTS, *MEASURES, TEXT_WORDS, *JUDGED, "base_failed",
                          (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))

@@ -121,3 +121,18 @@ def test_verdicts_by_kind_of_document(spark):
     found = collections.Counter((r.kind, r.kept) for r in judged)
     assert not any(r.base_failed for r in judged)
     assert found == {("plain", True): 120, ("table", True): 12, ("symbols", False): 12, ("separators", False): 12}
+
+
+@pytest.mark.parametrize("few", [1, 3, 20, 99, 100])
+def test_a_small_language_of_another_fertility_is_kept_at_every_size(spark, few):
+    import random
+
+    rnd = random.Random(9)
+    rows = [(text, "en") for kind, text in kinds(rnd, 150) if kind == "plain"]
+    letters = [chr(c) for c in range(0x13A0, 0x13E0)]  # Cherokee: not in the vocabulary
+    rows += [(" ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 6))) for _ in range(rnd.randint(60, 300))), "chr") for _ in range(few)]
+    rows += [(text, "chr") for kind, text in kinds(rnd, 1) if kind == "symbols"]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in fertility.judge(df, "doc_id", "text", PIECE_MODEL, "lang").collect()}
+    assert all(got[i].byte_share > 0.8 and got[i].kept for i in range(150, 150 + few))
+    assert not got[150 + few].kept
