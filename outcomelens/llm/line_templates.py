@@ -5,7 +5,11 @@ words; a leaf holds the lines that agree in them. Inside a leaf a line joins the
 ``SIMILAR`` (70 %) of its words or more, and the places where they differ become ``<*>`` too; else it starts a template.
 
 A template that occurs in ``min_docs`` documents or more recurs. Of all its lines only the first (least document id, then place) stays. A template
-of which less than half is constant says too little and is left alone, so are blank lines.
+of which less than half is constant says too little and is left alone, so are blank lines. A template of ``LONG`` words or more of which
+``STEADY`` is constant recurs from ``FEW`` documents on.
+
+Lines that are alike byte for byte are counted beside the templates, whatever share of their words holds digits: they recur in ``min_docs``
+documents, those of ``LONG`` words or more in ``PAIR``. The first line of a template is always the first of its like, so it stays.
 
 Spread: lines are counted by hash with a merge before the shuffle, so a line that every document holds is a few rows. Only leaves that hold several
 different lines and enough documents need texts; each of their lines travels once. Leaves with more than ``CELL`` lines are parsed in cells by
@@ -33,6 +37,8 @@ from .components import written
 LEADING = 3
 SIMILAR = 0.7
 CELL = 4096
+LONG, STEADY = 50, 0.9
+FEW, PAIR = 3, 2
 ANY = "<*>"
 
 
@@ -41,7 +47,7 @@ def _row(id_col: str, text_col: str) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, keep_text: bool = False) -> DataFrame:
-    """A row per line with a word: document, place, ``line`` and ``leaf`` as hashes; with ``keep_text`` the line and no place."""
+    """A row per line with a word: document, place, ``line``, ``leaf`` and ``same`` (the line unmasked) as hashes, ``long``; with ``keep_text`` the line and no place."""
     lines = docs.select(F.col(id_col).alias("_id"), _row(id_col, text_col).alias("_doc"),
                         F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("at", "raw"))
     lines = lines.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
@@ -54,14 +60,15 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, keep_text: bool = F
     lines = lines.withColumn("text", F.trim(plain))
     begin = F.substring_index("text", " ", LEADING)
     count = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
-    named = lines.withColumns({"line": F.xxhash64("text"), "leaf": F.xxhash64(count, begin)})
-    return named.select("line", "leaf", "text") if keep_text else named.select("_id", "_doc", "at", "line", "leaf")
+    named = lines.withColumns({"line": F.xxhash64("text"), "leaf": F.xxhash64(count, begin), "same": F.xxhash64("raw"), "long": count + 1 >= LONG,
+                               "masked": raw.rlike("[0-9]")})
+    return named.select("line", "leaf", "text") if keep_text else named.select("_id", "_doc", "at", "line", "leaf", "same", "long", "masked")
 
 
 def counted_lines(found: DataFrame) -> DataFrame:
     """``line``, ``leaf`` and ``docs``, the number of documents that hold the line."""
-    return found.groupBy("line", "_doc").agg(F.first("leaf").alias("leaf")).groupBy("line").agg(
-        F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("docs"))
+    return found.groupBy("line", "_doc").agg(F.first("leaf").alias("leaf"), F.first("long").alias("long")).groupBy("line").agg(
+        F.first("leaf").alias("leaf"), F.first("long").alias("long"), F.count(F.lit(1)).alias("docs"))
 
 
 class Leaf:
@@ -116,9 +123,10 @@ def parsed(lines: DataFrame, cell: Column) -> DataFrame:
 
 
 def templates(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, min_docs: int) -> DataFrame:
-    """``line``, ``template`` of the lines whose template may recur."""
+    """``line``, ``template`` of the lines whose template may recur, and ``least``, the documents it takes."""
     counted = written(counted_lines(found), "lines")
-    leaves = counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("_docs")).where(F.col("_docs") >= min_docs)
+    leaves = counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("_docs"), F.first("long").alias("_long")).where(
+        F.col("_docs") >= F.when(F.col("_long"), min(FEW, min_docs)).otherwise(min_docs))
     busy = written(counted.join(leaves, "leaf").select("line", "leaf", "docs", "n"), "busy-lines")
     texts = occurrences(docs, id_col, text_col, keep_text=True).drop("leaf")
     texts = texts.join(busy, "line").groupBy("line").agg(*[F.first(c).alias(c) for c in ("text", "leaf", "docs", "n")])
@@ -129,26 +137,36 @@ def templates(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, min
     # words of the template, and those that are constant
     size = F.size(F.split("_text", " "))
     constant = size - F.size(F.filter(F.split("_text", " "), lambda w: w == ANY))
-    telling = final.where(2 * constant >= size).select("_t")
+    least = F.when((size >= LONG) & (constant >= STEADY * size), min(FEW, min_docs)).otherwise(min_docs)
+    telling = final.where(2 * constant >= size).select("_t", least.alias("least"))
     return first.select("line", F.col("template").alias("_c")).join(
         second.select(F.col("line").alias("_c"), F.col("template").alias("_t")), "_c").join(telling, "_t").select(
-        "line", F.col("_t").alias("template"))
+        "line", F.col("_t").alias("template"), "least")
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
     """``docs`` with recurring lines but the first taken out of the text, and the numbers ``_lines`` and ``_dropped`` (long)."""
     found = written(occurrences(docs, id_col, text_col), "occurrences")
     known = templates(docs, found, id_col, text_col, min_docs)
-    hits = written(found.join(known, "line").select("_id", "_doc", "at", "template"), "template-lines")
-    spread = hits.groupBy("template", "_doc").agg(F.min(F.struct("_id", "_doc", "at")).alias("first")).groupBy("template").agg(
-        F.min("first").alias("first"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    drops = hits.join(spread, "template").where(~((F.col("_doc") == F.col("first._doc")) & (F.col("at") == F.col("first.at"))))
+    hits = written(found.join(known, "line").select("_id", "_doc", "at", "template", "least"), "template-lines")
+    # unmasked short lines are templates of their own
+    alike = found.where("long or masked").select("_id", "_doc", "at", F.col("same").alias("template"),
+                                                 F.when(F.col("long"), min(PAIR, min_docs)).otherwise(min_docs).alias("least"))
+    drops = repeats(hits).unionByName(repeats(alike))
     drops = written(drops.groupBy("_doc").agg(F.collect_set("at").alias("_places")), "dropped-places")
     # the same join at every size: both sides are dealt out by document
     joined = docs.withColumn("_doc", _row(id_col, text_col)).join(drops.hint("merge"), "_doc", "left").drop("_doc")
     return edited(joined, text_col)
 
 
+def repeats(hits: DataFrame) -> DataFrame:
+    """``_doc`` and ``at`` of all lines but the first of each ``template`` in ``least`` documents or more."""
+    spread = hits.groupBy("template", "_doc").agg(F.min(F.struct("_id", "_doc", "at")).alias("first"), F.first("least").alias("_least")).groupBy(
+        "template").agg(F.min("first").alias("first"), F.first("_least").alias("_least"), F.count(F.lit(1)).alias("docs"))
+    spread = spread.where(F.col("docs") >= F.col("_least"))
+    return hits.join(spread, "template").where(~((F.col("_doc") == F.col("first._doc")) & (F.col("at") == F.col("first.at")))).select("_doc", "at")
+
+
 def edited(docs: DataFrame, text_col: str) -> DataFrame:
     """Take the lines at ``_places`` out of the text."""
     columns = [c for c in docs.columns if c != "_places"]

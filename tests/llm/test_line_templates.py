@@ -100,3 +100,18 @@ def test_very_long_text(spark):
     long = "\n".join(f"row {i} of a table with a fixed wording" for i in range(20_000))
     got = run(spark, [(i, long) for i in range(2)] + [(10 + i, "row 5 of a table with a fixed wording") for i in range(9)])
     assert got[0] == ("row 0 of a table with a fixed wording", 20_000, 19_999) and got[1][2] == 20_000
+
+
+def test_long_passages_recur_from_few_documents_and_exact_lines_whatever_their_digits(spark):
+    rnd = random.Random(4)
+    passage = [" ".join("".join(rnd.choice("etaoinshr") for _ in range(5)) for _ in range(60)) for _ in range(3)]
+    prices = "a1 22 b3 44 c5 66"  # nothing of it is constant
+    loose = [" ".join(w if k < 45 else f"{w}{i}" for k, w in enumerate(passage[2].split())) for i in range(3)]  # three quarters constant
+    rows = [(0, f"own a\n{passage[0]}"), (1, f"own b\n{passage[0]}\n{passage[1]} 5"), (2, f"own c\n{passage[1]} 6"), (3, f"own d\n{passage[1]} 7")]
+    rows += [(10 + i, f"own {'e' * i}\n{text}") for i, text in enumerate(loose)]
+    rows += [(20 + i, f"own {'f' * i}\n{prices}\n{i} {i + 1}") for i in range(10)] + [(40 + i, f"own {'g' * i}\n9x 8x") for i in range(9)]
+    got = run(spark, rows)
+    assert {k for k, v in got.items() if passage[0] in v[0]} == {0}
+    assert {k for k, v in got.items() if passage[1] in v[0]} == {1}
+    assert all(got[10 + i][2] == 0 for i in range(3)) and all(got[40 + i][2] == 0 for i in range(9))
+    assert [got[20 + i][2] for i in range(10)] == [0] + [1] * 9
