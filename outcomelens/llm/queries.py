@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, chat, decontamination, fertility, jaccard, line_templates, pseudonyms, token_prefix, url_rules, warc
+from . import (byte_bpe, chat, decontamination, fertility, fill_in_middle, jaccard, line_templates, pseudonyms, token_prefix, url_rules,
+               warc)
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -156,3 +157,27 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_MODEL, "lang")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS digest FROM documents),
+u AS (
+    SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+        list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(digest, i, 8) AS BIGINT)) AS h FROM d),
+f AS (
+    SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50
+        THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+        least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS low,
+        greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS high FROM u),
+p AS (
+    SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle,
+        array_to_string(units[high + 1:], '') AS suffix FROM f)
+SELECT doc_id, CAST(len(units) AS BIGINT) AS n, form,
+    CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"), "doc_id", "text", seed=42, rate=50, spm=80)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
