@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (byte_bpe, chat, decontamination, fertility, fill_in_middle, jaccard, line_templates, pseudonyms, token_prefix, url_rules,
-               warc)
+from . import (byte_bpe, chat, decontamination, fertility, fill_in_middle, jaccard, line_templates, packing, pseudonyms, token_prefix,
+               url_rules, warc)
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -159,6 +159,11 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_MODEL, "lang")
 
 
+@query()
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k", end_id=2, capacity=1024)
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS digest FROM documents),
 u AS (
