@@ -205,7 +205,8 @@ def pack(df: DataFrame, id_col: str, text_col: str, vocabulary: str = "byte_bpe_
     """Per piece: ``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32``, on request ``ids``, and its place: ``sequence_id``, ``offset``."""
     spark = df.sparkSession
     written = scratch_path(spark, "pieces")
-    pieces(df.withColumnRenamed(id_col, "_id"), "_id", text_col, vocabulary, end_id, capacity, ids).write.parquet(written)
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    pieces(texts, "_id", "_text", vocabulary, end_id, capacity, ids).write.parquet(written)
     made = spark.read.parquet(written)
     counts = made.groupBy("length", "_task").agg(F.count("*").alias("_n"))
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``capacity`` rows

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (byte_bpe, chat, decontamination, fertility, fill_in_middle, jaccard, line_templates, packing, pseudonyms, token_prefix,
-               url_rules, warc)
+from . import (byte_bpe, chat, collocations, decontamination, fertility, fill_in_middle, jaccard, line_templates, packing,
+               pseudonyms, token_prefix, url_rules, warc)
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -159,6 +159,36 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_MODEL, "lang")
 
 
+@query(r"""
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+g AS (
+    SELECT lang, 1 AS size, unnest(words) AS phrase FROM w
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i + 1], ' '))) FROM w
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) FROM w),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1 AND f >= 10),
+k AS (
+    SELECT *, array_to_string(words[1:cut], ' ') AS head, array_to_string(words[cut + 1:], ' ') AS tail
+    FROM c JOIN (VALUES (1), (2)) AS v(cut) ON cut < size),
+s AS (
+    SELECT k.*, x.f AS l, y.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS score,
+    FROM k JOIN f x ON x.lang = k.lang AND x.phrase = head JOIN f y ON y.lang = k.lang AND y.phrase = tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+    SELECT lang, array_to_string(words[i:i + 1], ' ') AS phrase, max(a) AS around
+    FROM c, (VALUES (1), (2)) AS v(i) WHERE size = 3 GROUP BY ALL),
+t AS (
+    SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+    FROM b LEFT JOIN longer USING (lang, phrase) WHERE around IS NULL OR 100 * around < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM t JOIN n USING (lang) WHERE rank <= 2000""")
+def op11_toivonen_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), "text", "lang", min_count=10, top=2000)
+
+
 @query()
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k", end_id=2, capacity=1024)
