@@ -1,8 +1,8 @@
 """Order-dependent results (ranks, running totals, quantiles) without a single-task window.
 
-``running_before`` splits the ordered rows into contiguous ranges with Spark's range partitioner,
-runs the window inside each range and adds the totals of the ranges before it. The range of each row is
-written out (reliable checkpoint) before it is used twice, so both uses see the same split.
+The ordered rows are split into contiguous ranges with Spark's range partitioner, the window runs inside each
+range, and what the ranges before it amount to is added. The range of each row is written out before it is
+used twice, so both uses see the same split.
 """
 
 from __future__ import annotations
@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 from ..session import settle
 
 
+def in_ranges(df: DataFrame, order_by: Sequence[Column | str], ranges: int | None = None) -> DataFrame:
+    """The rows dealt out in contiguous ranges of the order, numbered in ``_range``. They are written out, so every use sees the same split."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(df.repartitionByRange(ranges, *order_by).withColumn("_range", F.spark_partition_id()))
+
+
 def running_before(
     df: DataFrame,
     order_by: Sequence[Column],
@@ -29,13 +35,8 @@ def running_before(
     ``df`` holds one row per (``by``, order value), i.e. it is already grouped, which also makes the ranges
     even whatever the skew of the raw rows. ``by`` columns are not null.
     """
-    spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = list(by)
-    ranged = settle(
-        df.repartitionByRange(ranges, *[F.col(c) for c in by], *order_by)
-        .withColumn("_range", F.spark_partition_id())
-    )
+    ranged = in_ranges(df, [*[F.col(c) for c in by], *order_by], ranges)
     # at most one row per range and group crossing it
     totals = totals or {}
     wanted = sorted({*sums.values(), *totals.values()})
@@ -82,27 +83,57 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float = 0.5) -> Da
     return quantile_table(df, columns, [q]).select("column", F.col("values")[0].alias("value"))
 
 
+def previous_row(df: DataFrame, by: Sequence[str], order_by: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Add, for each ``new: value``, the value of the row before this one in its group ``by``; null for the first.
+
+    The rows are ordered by group and ``order_by`` together, so the row before is found inside the range or is the last row of the
+    range before it: one row per range is carried over the borders, of ranges and of groups, and no group has a task to itself. Rows that
+    tie in ``order_by`` stand in any order.
+    """
+    position = F.struct(*by, *order_by)
+    held = in_ranges(df.withColumn("_own", F.struct(F.struct(*by).alias("group"), *[v.alias(n) for n, v in values.items()])),
+                     [F.col(c) for c in (*by, *order_by)])
+    last = held.groupBy("_range").agg(F.max_by("_own", position).alias("_carried"))
+    last = last.select(F.lead("_range").over(Window.partitionBy().orderBy("_range")).alias("_range"), "_carried")
+    inside = Window.partitionBy("_range").orderBy(position)
+    before = F.coalesce(F.lag("_own").over(inside), F.col("_carried"))
+    found = held.join(last, "_range", "left").withColumn("_before", before)
+    same = F.col("_before.group").eqNullSafe(F.col("_own.group"))
+    return found.select(*df.columns, *[F.when(same, F.col("_before")[name]).alias(name) for name in values])
+
+
 def dense_ranks(df: DataFrame, ranks: dict[str, Column], within: Sequence[str] = ()) -> DataFrame:
     """Add ``dense_rank`` columns, highest value first, null last.
 
-    ``ranks`` maps the new column to the ranked expression; with ``within`` the rank restarts per group. The report is
-    written out once. The distinct values of all ranks of a type are ordered together, distributed by ``running_before``, so
-    neither a large report nor a large group is ordered by one task.
+    ``ranks`` maps the new column to the ranked expression; with ``within`` the rank restarts per group. Each row is placed once per rank, all
+    ranks in one ordering, and ranked inside its range; the numbers of distinct values of the ranges before are added. Ties are ordered
+    by a hash of the row, so a value that a third of the rows share is spread over ranges too; where a value crosses
+    a border it is counted once.
     """
-    report = settle(df.withColumns({f"_v_{name}": value for name, value in ranks.items()}))
-    kinds: dict = {}
-    for name in ranks:
-        kinds.setdefault(report.schema[f"_v_{name}"].dataType.simpleString(), []).append(name)
+    kept = [c for c in df.columns if c not in ranks]
+    types = [f.dataType for f in df.select(*[v.alias(n) for n, v in ranks.items()]).schema]
+    slots = {t.simpleString(): (f"_v{i}", t) for i, t in enumerate(types)}  # one value column per type
+    cells = F.array(*[F.struct(F.lit(i).alias("_rank"), *[
+        (value if t == own else F.lit(None).cast(t)).alias(slot) for slot, t in slots.values()
+    ]) for i, (value, own) in enumerate(zip(ranks.values(), types))])
     group = F.to_json(F.struct(*within)) if within else F.lit("")
-    ranked = report.withColumn("_group", group)
-    for names in kinds.values():
-        values = F.explode(F.array(*[F.struct(F.lit(n).alias("_rank"), F.col(f"_v_{n}").alias("_value")) for n in names]))
-        distinct = ranked.select("_group", values.alias("_cell")).select("_group", "_cell.*").distinct()
-        placed = running_before(
-            distinct.withColumn("_one", F.lit(1)), [F.col("_value").desc()], {"_before": "_one"}, by=["_group", "_rank"])
-        for name in names:
-            own = placed.filter(F.col("_rank") == name).select(
-                F.col("_group").alias("_g"), F.col("_value").alias("_x"), (F.col("_before") + 1).cast("long").alias(name))
-            same = (F.col("_group") == F.col("_g")) & F.col(f"_v_{name}").eqNullSafe(F.col("_x"))
-            ranked = ranked.join(own, same, "left").drop("_g", "_x")
-    return ranked.select(*[c for c in df.columns if c not in ranks], *ranks)
+    placed = df.withColumns({"_group": group, "_cells": cells}).select(*kept, "_group", F.inline("_cells"))
+    values = [slot for slot, _ in slots.values()]
+    highest = [F.col(v).desc() for v in values]
+    placed = in_ranges(placed.withColumn("_tie", F.xxhash64(*kept)), ["_rank", "_group", *highest, "_tie"])
+
+    value, series = F.struct(*values), Window.partitionBy("_rank", "_group").orderBy("_range")
+    found = placed.groupBy("_range", "_rank", "_group").agg(
+        F.count_distinct(value).alias("_n"), F.max(value).alias("_first"), F.min(value).alias("_last"))
+    crossed = F.coalesce((F.col("_first") == F.lag("_last").over(series)).cast("long"), F.lit(0))
+    earlier = F.sum(F.col("_n") - F.col("_crossed")).over(series.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = found.withColumn("_crossed", crossed).select(
+        "_range", "_rank", "_group", (F.coalesce(earlier, F.lit(0)) - F.col("_crossed")).alias("_offset"))
+    inside = Window.partitionBy("_range", "_rank", "_group").orderBy(*highest)
+    ranked = placed.join(offsets, ["_range", "_rank", "_group"]).withColumn("_dense", (F.dense_rank().over(inside) + F.col("_offset")).cast("long"))
+    if len(ranks) == 1:
+        return ranked.select(*kept, F.col("_dense").alias(next(iter(ranks))))
+    together = ranked.groupBy(*kept).agg(
+        *[F.max(F.when(F.col("_rank") == i, F.col("_dense"))).alias(name) for i, name in enumerate(ranks)],
+        F.count_if(F.col("_rank") == 0).alias("_copies"))
+    return together.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_copy")

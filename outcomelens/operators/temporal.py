@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import previous_row
+
 
 def as_date(column: str, dtype: str | None = None) -> Column:
     """Date of a date, timestamp or text column; unreadable text becomes null."""
@@ -53,13 +55,11 @@ def quarter_change(
     """Add the measure of the previous quarter in the same group, and the difference.
 
     "Previous" is the previous quarter *present* in the report. With ``calendar`` it is the quarter right before,
-    and null where that one is absent.
+    and null where that one is absent. See ``previous_row``: a group may have any number of quarters.
     """
-    order = Window.partitionBy(*by).orderBy(year, quarter)
-    previous = F.lag(measure).over(order)
-    if calendar:
-        index = F.col(year) * 4 + F.col(quarter)
-        previous = F.when(F.lag(index).over(order) == index - 1, previous)
-    return report.withColumn(f"prev_{measure}", previous).withColumn(
+    index = F.col(year) * 4 + F.col(quarter)
+    found = previous_row(report, by, [year, quarter], {"_measure": F.col(measure), "_index": index})
+    previous = F.when(F.col("_index") == index - 1, F.col("_measure")) if calendar else F.col("_measure")
+    return found.withColumn(f"prev_{measure}", previous).withColumn(
         f"{measure}_change", F.round(F.col(measure) - F.col(f"prev_{measure}"), digits)
-    )
+    ).drop("_measure", "_index")
