@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import running_before
+
 
 def key_digest(keys: Sequence[str], salt: str = "") -> Column:
     """md5 of the key columns; the same in any partition layout and in other engines."""
@@ -33,6 +35,51 @@ def hash_split(df: DataFrame, keys: Sequence[str], shares: dict[str, int], salt:
     return {name: df.filter(part == name) for name in shares}
 
 
+def quota_bounds(rows: Column, shares: dict[str, int]) -> dict[str, Column]:
+    """For each part, how many of ``rows`` rows belong to it and the parts before: whole numbers by the largest remainder, ties to the
+    part named first."""
+    total = sum(shares.values())
+    even = {name: F.floor(rows * share / total).cast("long") for name, share in shares.items()}
+    rest = {name: (rows * share) % total for name, share in shares.items()}
+    over = rows - sum(even.values(), F.lit(0))
+    bounds, upto = {}, F.lit(0).cast("long")
+    names = list(shares)
+    for i, name in enumerate(names):
+        ahead = [(rest[o] >= rest[name]) if j < i else (rest[o] > rest[name]) for j, o in enumerate(names) if j != i]
+        place = sum((a.cast("int") for a in ahead), F.lit(0))
+        upto = upto + even[name] + (place < over).cast("long")
+        bounds[name] = upto
+    return bounds
+
+
+def split_cuts(df: DataFrame, keys: Sequence[str], label: str, shares: dict[str, int], salt: str = "") -> DataFrame:
+    """(_label, _cuts): per label the digests at which a part ends, in the order of ``shares``; null where the last key is in that part.
+
+    Only one row per key, of label and digest, is ordered. ``running_before`` deals the digests of a label out to many tasks.
+    """
+    digests = df.groupBy(F.to_json(F.struct(F.col(label).alias("l"))).alias("_label"), key_digest(keys, salt).alias("_digest")).agg(
+        F.count("*").alias("_n"))
+    placed = running_before(digests, [F.col("_digest")], {"_before": "_n"}, by=["_label"], totals={"_rows": "_n"})
+    ends = list(quota_bounds(F.col("_rows"), shares).values())[:-1]
+    return placed.groupBy("_label").agg(F.array(*[F.min(F.when(F.col("_before") >= end, F.col("_digest"))) for end in ends]).alias("_cuts"))
+
+
+def exact_split(df: DataFrame, keys: Sequence[str], label: str, shares: dict[str, int], salt: str = "", name: str = "part") -> DataFrame:
+    """``df`` with the part of each row: of each label exactly its quota of rows goes to each part.
+
+    Rows are taken in the order of their key digest, so the split is repeatable in any layout. Rows with one key stay together, which is all that
+    can keep a part from its quota. A null label is a label. Whole rows are not shuffled: they meet one row of cuts per label.
+    """
+    cuts = split_cuts(df, keys, label, shares, salt)
+    names = list(shares)
+    tagged = df.withColumns({"_mine": F.to_json(F.struct(F.col(label).alias("l"))), "_at": key_digest(keys, salt)})
+    part = F.lit(names[-1])
+    for i in range(len(names) - 2, -1, -1):
+        cut = F.get("_cuts", F.lit(i))
+        part = F.when(cut.isNull() | (F.col("_at") < cut), names[i]).otherwise(part)
+    return tagged.join(cuts, F.col("_mine") == F.col("_label")).select(*df.columns, part.alias(name))
+
+
 @dataclass(frozen=True)
 class ClassWeights:
     """Balanced weights total / (2 * rows of the label), learnt on train and applied to any frame."""

@@ -1,4 +1,4 @@
-from . import evaluation, messages, models, preparation, profiling, reduction, segments  # noqa: F401
+from . import evaluation, intake, messages, models, preparation, profiling, reduction, segments  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

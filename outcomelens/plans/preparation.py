@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import ColumnGroups
@@ -122,17 +123,41 @@ def split_counts(t: Tables):
         F.count("*").alias("n"))
 
 
+@query("split_exact", f"""
+    WITH d AS (
+        SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY md5(concat_ws('-', 'exact', l_orderkey, l_partkey, l_suppkey, l_linenumber))) - 1 AS place
+        FROM lineitem),
+    shares AS (SELECT * FROM (VALUES (1, 'train', 7), (2, 'test', 2), (3, 'stream', 1)) AS v(i, part, share)),
+    labels AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1),
+    even AS (SELECT *, n * share // 10 AS base, n * share % 10 AS rest FROM labels, shares),
+    quota AS (
+        SELECT *, base + CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY rest DESC, i)
+            <= n - sum(base) OVER (PARTITION BY l_returnflag) AS INTEGER) AS quota FROM even),
+    ends AS (SELECT *, sum(quota) OVER (PARTITION BY l_returnflag ORDER BY i) AS upto FROM quota)
+    SELECT l_returnflag, part, count(*) AS n, max(quota) = count(*) AS meets_quota, CAST(sum(l_orderkey) AS BIGINT) AS order_keys,
+        CAST(sum(l_partkey) AS BIGINT) AS part_keys
+    FROM d JOIN ends USING (l_returnflag) WHERE place < upto AND place >= upto - quota GROUP BY 1, 2""")
+def split_exact(t: Tables):
+    """Rows of each status in each part of an exact 7:2:1 split, whether that is the quota, and sums that tell which rows they are."""
+    shares = {"train": 7, "test": 2, "stream": 1}
+    split = splitting.exact_split(t.lineitem, ROW_KEY, STATUS, shares, salt="exact")
+    counted = split.groupBy(STATUS, "part").agg(
+        F.count("*").alias("n"), F.sum("l_orderkey").alias("order_keys"), F.sum("l_partkey").alias("part_keys"))
+    upto = splitting.quota_bounds(F.sum("n").over(Window.partitionBy(STATUS)), shares)  # three rows per status
+    quota, before = F.lit(0), F.lit(0)
+    for name, bound in upto.items():
+        quota, before = F.when(F.col("part") == name, bound - before).otherwise(quota), bound
+    return counted.withColumn("meets_quota", F.col("n") == quota)
+
+
 @query("split_two_way", f"""
     SELECT CASE WHEN {BUCKET_SQL} % 10 < 8 THEN 'train' ELSE 'test' END AS part, count(*) AS n,
         CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18, 2)))) AS BIGINT) AS price_total
     FROM lineitem GROUP BY 1""")
 def split_two_way(t: Tables):
-    parts = splitting.hash_split(t.lineitem, ROW_KEY, {"train": 8, "test": 2})
     total = F.round(F.sum(F.col(TARGET).cast("decimal(18,2)"))).cast("long").alias("price_total")
-    counted = [
-        df.agg(F.count("*").alias("n"), total).withColumn("part", F.lit(name)) for name, df in parts.items()
-    ]
-    return counted[0].unionByName(counted[1]).select("part", "n", "price_total")
+    part = splitting.split_name(ROW_KEY, {"train": 8, "test": 2})
+    return t.lineitem.groupBy(part.alias("part")).agg(F.count("*").alias("n"), total)
 
 
 @query("class_weights", f"""

@@ -8,6 +8,7 @@ from outcomelens.operators.preparation import (
     Preparer, dedup_counts, dedup_rows, fill_unknown, fill_values, label_set, medians, standardize_types, target_set,
 )
 from outcomelens.operators.splitting import (
+    exact_split,
     ClassWeights, class_weight_table, hash_bucket, hash_split, stable_sample,
 )
 
@@ -142,3 +143,46 @@ def test_stable_sample(keyed, rows):
     one = stable_sample(keyed, ["k"], 50)
     assert rows(one) == rows(stable_sample(keyed.repartition(7), ["k"], 50)) and one.count() == 50
     assert "TakeOrderedAndProject" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def quotas(n, shares):
+    total = sum(shares)
+    even = [n * s // total for s in shares]
+    order = sorted(range(len(shares)), key=lambda i: (-(n * shares[i] % total), i))
+    for i in order[:n - sum(even)]:
+        even[i] += 1
+    return even
+
+
+def test_exact_split_meets_every_quota(spark):
+    # a third of all rows under one label, labels of one to thirteen rows, a null label
+    data = [(i, "hot") for i in range(3000)] + [(10_000 + 100 * k + i, f"l{k}") for k in range(1, 14) for i in range(k)] + [(20_000 + i, None) for i in range(17)]
+    df = spark.createDataFrame(data, "k long, label string").repartition(5)
+    shares = {"train": 7, "test": 2, "stream": 1}
+    split = exact_split(df, ["k"], "label", shares, salt="s")
+    counts = {}
+    for r in split.groupBy("label", "part").count().collect():
+        counts.setdefault(r["label"], {})[r["part"]] = r["count"]
+    for label, found in counts.items():
+        n = sum(1 for _, other in data if other == label)
+        assert [found.get(p, 0) for p in shares] == quotas(n, list(shares.values())), label
+    again = exact_split(df.repartition(2), ["k"], "label", shares, salt="s")
+    assert split.exceptAll(again).count() == 0 and split.count() == len(data)
+    other = exact_split(df, ["k"], "label", shares, salt="t")
+    assert split.exceptAll(other).count() > 500
+
+
+def test_exact_split_keeps_a_key_together(spark, rows):
+    df = spark.createDataFrame([(i % 40, "a") for i in range(200)], "k long, label string")
+    parts = {}
+    for k, part in rows(exact_split(df, ["k"], "label", {"x": 1, "y": 1}).select("k", "part").distinct()):
+        assert parts.setdefault(k, part) == part
+    assert sorted(parts) == list(range(40)) and exact_split(df.limit(0), ["k"], "label", {"x": 1, "y": 1}).count() == 0
+
+
+def test_exact_split_orders_a_hot_label_in_many_tasks(spark):
+    from outcomelens.operators.ordering import in_ranges
+    from outcomelens.operators.splitting import key_digest
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("label"), key_digest(["id"]).alias("d"))
+    sizes = [r["count"] for r in in_ranges(df, ["label", "d"], 8).filter("label = 'hot'").groupBy("_range").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 4000
