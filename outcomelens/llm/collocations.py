@@ -40,11 +40,13 @@ BORDER = b"\xff"
 #: Line ends and marks become the border of a piece, a tab a space; other bytes stay.
 CLEAN = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 BLOCK_BYTES = 1 << 20
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 ROWS_OUT = 20_000
 BYTES_OUT = 16 << 20
 SHARDS = 128
 COUNTS = "lang string, size int, phrase binary, n long"
+#: What tasks send: language and phrase in one value, so that one short key is hashed and shuffled. No phrase holds a tab.
+KEYED, TAB = "key binary, n long", "\t"
 
 
 def word_blocks(text: bytes) -> Iterator[list[bytes]]:
@@ -171,19 +173,19 @@ class Block:
         yield 3, [begins >> 32, begins & 0xFFFFFFFF, keys & 0xFFFFFFFF], n
 
     def batches(self, now: Proposed, before: Proposed | None) -> Iterator[pa.RecordBatch]:
+        lang = (self.lang + TAB).encode()
         words = pa.array(list(self.number), pa.large_binary())
+        opening = pc.binary_join_element_wise(pa.scalar(lang, pa.large_binary()), words, pa.scalar(b"", pa.large_binary()))
         lengths = np.fromiter(map(len, self.number), np.int64, len(self.number)) + 1
-        for size, places, n in self.counts(now, before):
-            total = np.cumsum(sum((lengths[p] for p in places), np.zeros(len(n), np.int64)) + 1)
+        for _, places, n in self.counts(now, before):
+            total = np.cumsum(sum((lengths[p] for p in places), np.full(len(n), len(lang))))
             start = 0
             while start < len(n):
                 limit = (total[start - 1] if start else 0) + BYTES_OUT
                 end = min(start + ROWS_OUT, max(start + 1, int(np.searchsorted(total, limit))), len(n))
-                parts = [words.take(pa.array(p[start:end])) for p in places]
-                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if parts else pa.array([b""])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([self.lang] * (end - start)), pa.array(np.full(end - start, size, np.int32)), phrase.cast(pa.binary()),
-                     pa.array(n[start:end].astype(np.int64))], ["lang", "size", "phrase", "n"])
+                parts = [held.take(pa.array(p[start:end])) for held, p in zip((opening, words, words), places)]
+                key = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if parts else pa.array([lang])
+                yield pa.RecordBatch.from_arrays([key.cast(pa.binary()), pa.array(n[start:end].astype(np.int64))], ["key", "n"])
                 start = end
 
 
@@ -214,7 +216,13 @@ def counted(texts: DataFrame, now: Proposed, before: Proposed | None) -> DataFra
         for block in blocks.values():
             yield from block.batches(*sent.value)
 
-    return texts.mapInArrow(run, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    merged = texts.mapInArrow(run, KEYED).groupBy("key").agg(F.sum("n").alias("n"))
+    key = F.col("key").cast("string")
+    phrase = F.substring_index(key, TAB, -1)
+    spaces = F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit("")))
+    return merged.select(
+        F.substr(key, F.lit(1), F.length(key) - F.length(phrase) - 1).alias("lang"), F.when(phrase == "", 0).otherwise(spaces + 1).alias("size"),
+        phrase.cast("binary").alias("phrase"), "n")
 
 
 def frequent(df: DataFrame, text_col: str, lang_col: str, min_count: int, share: float = 0.1, lowered: int = 2, seed: int = 7,
