@@ -1,18 +1,28 @@
-"""Check the raw table: shape, required columns, missing values, distributions."""
+"""Read the raw table by its declared types, quarantine what does not fit; shape, required columns, missing values, distributions."""
 
 from common import arguments, save_report, start
 
 from outcomelens.functions import outcome_group
 from outcomelens.operators import profiling as P
+from outcomelens.operators.progress import Progress
 from outcomelens.plans.loans import INCOME_ORDER, NEGATIVE, OUTCOME_NAMES, POSITIVE, STATUS, TARGET
-from outcomelens.sources import read_csv, write_parquet
+from outcomelens.sources import write_parquet
+from outcomelens.sources.declared import account_rows, field_accounts, read_csv_declared, split_bad
 
 
 def main():
-    args = arguments(__doc__, "csv", "table", "reports")
+    args = arguments(__doc__, "csv", "table", "reports", quarantine="")
     spark, preset = start(args, "check-table")
-    # parse the text once; every later job reads the columns it needs from Parquet
-    write_parquet(read_csv(spark, args.csv), args.table)
+    # parse the text once; every later job reads the columns it needs from Parquet. The accounts are taken from the same pass
+    declared, progress = preset.declared(), Progress(spark)
+    read = read_csv_declared(progress.session, args.csv, declared)
+    kept, bad = split_bad(progress.watch(read, "read", *field_accounts(read, declared)[1:]))
+    write_parquet(progress.watch(kept, "kept"), args.table)
+    facts = spark.createDataFrame([progress.facts("read")])
+    save_report(account_rows(read, declared, facts), args.reports, "fields")
+    save_report(progress.table().filter("metric IN ('rows', 'bad_rows', 'bad_records')"), args.reports, "progress")
+    if progress.facts("read").get("bad_rows"):
+        write_parquet(split_bad(read)[1], args.quarantine or f"{args.table.rstrip('/')}-quarantine")
     df = spark.read.parquet(args.table)
     outcomes = P.distribution(df, outcome_group(STATUS, NEGATIVE, POSITIVE, OUTCOME_NAMES), "outcome_group", True)
     for name, report in {

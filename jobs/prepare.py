@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from outcomelens.operators.preparation import Preparer, dedup_rows, label_set, target_set
 from outcomelens.operators.profiling import missing_summary, target_summary
+from outcomelens.operators.progress import Progress
 from outcomelens.operators.splitting import split_name
 from outcomelens.plans.loans import NEGATIVE, POSITIVE, STATUS, TARGET
 from outcomelens.session import scratch_path
@@ -14,13 +15,13 @@ def main():
     args = arguments(
         __doc__, "reduced", "classification", "regression", "reports", keep_price=0, impute_target=0)
     spark, preset = start(args, "prepare")
-    reduced = spark.read.parquet(args.reduced)
+    progress = Progress(spark)
+    reduced = progress.session.read.parquet(args.reduced)
     distinct = scratch_path(spark, "distinct")  # every pass below reads its columns of the result of the one shuffle
-    dedup_rows(reduced).write.parquet(distinct)
-    rows = spark.read.parquet(distinct)
-    save_report(
-        reduced.agg(F.count("*").alias("rows_before"))
-        .withColumn("rows_after", rows.agg(F.count("*").alias("n")).scalar()), args.reports, "duplicates")
+    progress.watch(dedup_rows(progress.watch(reduced, "read")), "distinct").write.parquet(distinct)
+    rows = progress.session.read.parquet(distinct)
+    counted = [(progress.facts("read")["rows"], progress.facts("distinct")["rows"])]
+    save_report(spark.createDataFrame(counted, "rows_before long, rows_after long"), args.reports, "duplicates")
     save_report(missing_summary(rows), args.reports, "missing")
     # without an identifier the whole row is the key; parts are fixed before anything is learnt
     key = sorted(rows.columns)
@@ -35,7 +36,9 @@ def main():
         else:
             ready = target_set(prepared, TARGET, STATUS)
             save_report(target_summary(ready.drop("part"), TARGET), args.reports, "target_summary")
-        ready.write.mode("overwrite").partitionBy("part").parquet(path)
+        parts = [F.count_if(F.col("part") == part).alias(part) for part in shares[task]]
+        progress.watch(ready, task, *parts).write.mode("overwrite").partitionBy("part").parquet(path)
+    save_report(progress.table(), args.reports, "progress")
     spark.stop()
 
 

@@ -4,6 +4,7 @@ from common import arguments, save_report, start
 
 from outcomelens.config import feature_types
 from outcomelens.operators.correlation import corr_pairs, corr_with_target, high_pairs
+from outcomelens.operators.progress import Progress
 from outcomelens.operators.reduction import Reduction, drop_present, reduction_ledger, removal_ledger
 from outcomelens.plans.loans import STATUS, TARGET
 from outcomelens.sources import write_parquet
@@ -12,7 +13,8 @@ from outcomelens.sources import write_parquet
 def main():
     args = arguments(__doc__, "table", "reduced", "reports", sparse=80.0, corr=0.85)
     spark, preset = start(args, "reduce")
-    raw = spark.read.parquet(args.table)
+    progress = Progress(spark)
+    raw = progress.session.read.parquet(args.table)
     groups = preset.drop_groups()
     save_report(reduction_ledger(raw, groups), args.reports, "domain_ledger")
     domain, _, _ = drop_present(raw, [c for g in groups for c in g.columns])
@@ -23,7 +25,9 @@ def main():
         corr_threshold=args.corr)
     reduction = Reduction.fit(ledger)
     reduced = reduction.transform(domain)
-    write_parquet(reduced, args.reduced)
+    write_parquet(progress.watch(reduced, "reduced"), args.reduced)
+    columns = [(0, "raw", "columns", len(raw.columns)), (0, "domain", "columns", len(domain.columns)), (0, "reduced", "columns", len(reduced.columns))]
+    save_report(progress.table().union(spark.createDataFrame(columns, progress.table().schema)), args.reports, "progress")
     kept = feature_types(reduced).numeric
     save_report(ledger, args.reports, "removal_ledger")
     save_report(corr_with_target(domain, kept, TARGET), args.reports, "correlation_with_target")

@@ -18,29 +18,116 @@ def corr_scalars(df: DataFrame, pairs: dict[str, tuple[str, str]], digits: int =
     ])
 
 
+#: Columns of a block, bytes of sums that a task holds before it hands them on, and rows from whose middle values the sums are taken.
+BLOCK, HELD_BYTES, SHIFT_ROWS = 128, 256 << 20, 1000
+MOMENTS = ["n", "odd", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def pair_moments(
+    df: DataFrame, numeric: Sequence[str], counted: Sequence[str] = (), block: int = BLOCK, held_bytes: int = HELD_BYTES,
+) -> DataFrame:
+    """(a, b, n, odd, sx, sy, sxx, syy, sxy) for a <= b, positions in ``numeric``: over the rows where both are present their number, how many hold a value that
+    is not finite, and the sums of the other values, squares and products. The columns in ``counted`` follow with their present values as n of (a, a), and
+    (-1, -1) has the number of all rows.
+
+    A task multiplies blocks of columns as matrices, values and presence, batch by batch, and hands on one row per pair; Spark sums the
+    pairs. If all pairs of a table with very many columns exceed ``held_bytes``, a task hands on the sums of every batch. Values are taken
+    relative to the middle one of some rows of the column, which only spares digits.
+    """
+    k = len(numeric)
+    names = [f"c{i}" for i in range(k)]
+    numbers = [F.col(quoted(c)).cast("double").alias(n) for c, n in zip(numeric, names)]
+    flags = [F.when(F.col(quoted(c)).isNotNull(), True).alias(f"f{i}") for i, c in enumerate(counted)]
+    values = df.select(*numbers, *flags, F.lit(True).alias("row"))
+    middle = values.limit(SHIFT_ROWS).agg(*[
+        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN isnan({n}) OR abs({n}) = double('Infinity') THEN NULL ELSE {n} END)").alias(n)
+        for n in names]).first() if names else ()
+    shifts = [float(x) if x is not None else 0.0 for x in middle]
+    whole = k * k * 8 * len(MOMENTS) <= held_bytes
+    starts, flagged = range(0, k, block), len(flags)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = {}
+
+        def rows(i, j, sums):
+            left, right = np.meshgrid(np.arange(i, min(i + block, k)), np.arange(j, min(j + block, k)), indexing="ij")
+            upper = left <= right
+            cells = [pa.array(c[upper].astype(np.int32)) for c in (left, right)] + [pa.array(c[upper]) for c in sums]
+            return pa.RecordBatch.from_arrays(cells, ["a", "b", *MOMENTS])
+
+        present = np.zeros(flagged + 1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            present += [batch.num_rows - c.null_count for c in batch.columns[k:]]
+            if not k:
+                continue
+            batch = batch.select(names)
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            finite = np.isfinite(x)
+            x = np.where(there & finite, x - shifts, 0.0)
+            m, odd, squares = there.astype(float), (there & ~finite).astype(float), x * x
+            for i in starts:
+                for j in starts:
+                    if j < i:
+                        continue
+                    p, q = slice(i, i + block), slice(j, j + block)
+                    # a row counts for sums if both values are there and finite; the others are zero already
+                    mp, mq = m[:, p] - odd[:, p], m[:, q] - odd[:, q]
+                    n = m[:, p].T @ m[:, q]
+                    sums = [n, n - mp.T @ mq, x[:, p].T @ mq, mp.T @ x[:, q], squares[:, p].T @ mq, mp.T @ squares[:, q], x[:, p].T @ x[:, q]]
+                    if not whole:
+                        yield rows(i, j, sums)
+                    elif (i, j) in held:
+                        for total, add in zip(held[i, j], sums):
+                            total += add
+                    else:
+                        held[i, j] = sums
+        for (i, j), sums in held.items():
+            yield rows(i, j, sums)
+        alone = pa.array(np.append(np.arange(k, k + flagged), -1).astype(np.int32))
+        empty = pa.array(np.zeros(flagged + 1))
+        yield pa.RecordBatch.from_arrays([alone, alone, pa.array(present), *[empty] * (len(MOMENTS) - 1)], ["a", "b", *MOMENTS])
+
+    fields = ", ".join(["a int", "b int", *[f"{m} double" for m in MOMENTS]])
+    return values.mapInArrow(run, fields).groupBy("a", "b").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+
+
+def moment_corr() -> Column:
+    """Correlation from ``pair_moments``: null where either column is constant or nothing is shared, NaN where a value is not finite."""
+    n = F.col("n")
+
+    def varies(square: str, total: str) -> Column:
+        spread = F.col(square) - F.col(total) * F.col(total) / n
+        return F.when(spread > F.col(square) * 1e-13, spread)  # less is what rounding leaves of a constant
+
+    together = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    r = together / F.sqrt(varies("sxx", "sx") * varies("syy", "sy"))
+    return F.when(F.col("odd") > 0, F.lit(float("nan"))).when(
+        (n > 0) & r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+
+
 def pair_cells(df: DataFrame, numeric: Sequence[str], counted: Sequence[str] = ()) -> DataFrame:
     """One row with ``cells``, an array of (a, b, row_count, n, r) ordered by (a, b).
 
     a <= b are positions in ``numeric``; n counts the rows where both are present and r correlates them, so the cell
     (a, a) counts the present values of a column. The columns in ``counted`` follow with that last kind of cell only.
 
-    Each record is spread over its pairs inside the task and merged there by pair: one scan serves any number of pairs,
-    the generated code does not grow with them and only (pair, moments) rows are shuffled.
+    One scan serves any number of pairs (see ``pair_moments``), the generated code does not grow with them and only
+    (pair, moments) rows are shuffled.
     """
-    k = len(numeric)
-    values = [F.col(quoted(c)).cast("double") for c in numeric]
-    flags = [F.when(F.col(quoted(c)).isNotNull(), 1.0) for c in counted]
-    a, d = F.col("a"), F.col("d")
-    partners = F.when(a < k, k - a).otherwise(1)
-    pairs = (
-        df.select(F.array(*values, *flags).alias("v"))
-        .select("v", F.posexplode("v").alias("a", "x"))
-        .select("a", "x", F.posexplode(F.slice("v", a + 1, partners)).alias("d", "y"))
-    )
-    cells = pairs.groupBy("a", (a + d).alias("b")).agg(
-        F.count("*").alias("row_count"), F.regr_count("x", "y").alias("n"), safe_corr("x", "y").alias("r"))
+    pairs = pair_moments(df, numeric, counted)
+    own = F.struct("a", "b", F.col("n").cast("long").alias("n"), moment_corr().alias("r"))
     # one element per pair of columns
-    return cells.agg(F.sort_array(F.collect_list(F.struct("a", "b", "row_count", "n", "r"))).alias("cells"))
+    found = pairs.agg(
+        F.sort_array(F.collect_list(F.when(F.col("a") >= 0, own))).alias("held"), F.max(F.when(F.col("a") < 0, F.col("n"))).alias("rows"))
+    rows = F.col("rows").cast("long").alias("row_count")
+    whole = F.transform("held", lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), rows, c["n"].alias("n"), c["r"].alias("r")))
+    return found.select(F.when(F.col("rows") > 0, whole).otherwise(F.slice(whole, 1, 0)).alias("cells"))
 
 
 def cell(a: Column, b: Column, k: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.progress import Progress
 from ..session import scratch_path
 from ..sources.declared import BAD_FIELDS, BAD_RECORD, RECORD, account, read_csv_declared, split_bad
 from ..sources.inferred import json_conflicts, json_paths, json_schema
@@ -123,3 +124,16 @@ def json_inferred_read(t: Tables):
     read = texts.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").isNotNull().alias("whole"))
     return read.where("whole").agg(
         F.count("r").alias("n"), F.sum(F.floor("r.amount")).cast("long").alias("amounts"), F.count_distinct("r.key").alias("keys"))
+
+
+@query("write_progress", """
+    SELECT unnest(['read', 'read', 'resolved', 'dear']) AS stage, unnest(['rows', 'bad', 'rows', 'rows']) AS metric,
+        unnest([count(*), count(*) FILTER (WHERE l_returnflag = 'R'), count(*) FILTER (WHERE l_returnflag IN ('R', 'A')),
+            count(*) FILTER (WHERE l_returnflag IN ('R', 'A') AND l_extendedprice > 45000)]) AS value FROM lineitem""")
+def write_progress(t: Tables):
+    """Rows of each stage of a write, counted by the write itself."""
+    progress = Progress(t.spark)
+    read = progress.watch(Tables(progress.session, t.sf_dir).lineitem, "read", F.count_if(F.col("l_returnflag") == "R").alias("bad"))
+    resolved = progress.watch(read.where(F.col("l_returnflag").isin("R", "A")), "resolved")
+    progress.watch(resolved.where(F.col("l_extendedprice") > 45000), "dear").write.parquet(scratch_path(t.spark, "dear"))
+    return progress.table().select("stage", "metric", "value")

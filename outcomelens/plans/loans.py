@@ -51,18 +51,72 @@ APR_ERROR_BANDS = Band((
 class LoanPreset:
     platform: str
 
-    def __getattr__(self, role: str) -> str:
-        # Columns that carry the platform's name.
-        patterns = {
-            "score": "{}Score", "rating_alpha": "{}Rating (Alpha)", "rating_numeric": "{}Rating (numeric)",
-            "prior_loans": "Total{}Loans", "payments_billed": "Total{}PaymentsBilled",
-            "payments_on_time": "OnTime{}Payments", "late_under_month": "{}PaymentsLessThanOneMonthLate",
-            "late_over_month": "{}PaymentsOneMonthPlusLate", "principal_borrowed": "{}PrincipalBorrowed",
-            "principal_outstanding": "{}PrincipalOutstanding",
+    # Columns that carry the platform's name.
+    @property
+    def score(self) -> str:
+        return f"{self.platform}Score"
+
+    @property
+    def rating_alpha(self) -> str:
+        return f"{self.platform}Rating (Alpha)"
+
+    @property
+    def rating_numeric(self) -> str:
+        return f"{self.platform}Rating (numeric)"
+
+    @property
+    def prior_loans(self) -> str:
+        return f"Total{self.platform}Loans"
+
+    @property
+    def payments_billed(self) -> str:
+        return f"Total{self.platform}PaymentsBilled"
+
+    @property
+    def payments_on_time(self) -> str:
+        return f"OnTime{self.platform}Payments"
+
+    @property
+    def late_under_month(self) -> str:
+        return f"{self.platform}PaymentsLessThanOneMonthLate"
+
+    @property
+    def late_over_month(self) -> str:
+        return f"{self.platform}PaymentsOneMonthPlusLate"
+
+    @property
+    def principal_borrowed(self) -> str:
+        return f"{self.platform}PrincipalBorrowed"
+
+    @property
+    def principal_outstanding(self) -> str:
+        return f"{self.platform}PrincipalOutstanding"
+
+    def declared(self) -> dict[str, str]:
+        """SQL type of every column of the raw table that is not text."""
+        # Columns and their types.
+        types = {
+            "int": (
+                "ListingNumber", "LoanNumber", "LoanCurrentDaysDelinquent", "LoanFirstDefaultedCycleNumber", "LoanMonthsSinceOrigination",
+                self.rating_numeric, "EmploymentStatusDuration", "CreditScoreRangeUpper", "OpenCreditLines", "OpenRevolvingAccounts",
+                "PublicRecordsLast12Months", self.payments_billed, self.payments_on_time, "Recommendations", "InvestmentFromFriendsCount",
+                "PublicRecordsLast10Years", "TotalCreditLinespast7years", "TotalInquiries", "CurrentCreditLines", "TradesOpenedLast6Months",
+                "ListingCategory (numeric)", "ScorexChangeAtTimeOfListing", "Term", self.score, "CreditScoreRangeLower", "InquiriesLast6Months",
+                "CurrentDelinquencies", "DelinquenciesLast7Years", "TotalTrades", "LoanOriginalAmount", "Investors", self.prior_loans,
+                self.late_under_month, self.late_over_month,
+            ),
+            "double": (
+                "LP_CustomerPayments", "LP_CustomerPrincipalPayments", "LP_InterestandFees", "LP_ServiceFees", "LP_CollectionFees",
+                "LP_GrossPrincipalLoss", "LP_NetPrincipalLoss", "LP_NonPrincipalRecoverypayments", "StatedMonthlyIncome",
+                "AvailableBankcardCredit", "RevolvingCreditBalance", "OpenRevolvingMonthlyPayment", "AmountDelinquent", self.principal_borrowed,
+                self.principal_outstanding, "MonthlyLoanPayment", "InvestmentFromFriendsAmount", "BorrowerRate", "LenderYield",
+                "EstimatedEffectiveYield", "EstimatedReturn", "TradesNeverDelinquent (percentage)", "PercentFunded", TARGET, "EstimatedLoss",
+                "BankcardUtilization", "DebtToIncomeRatio",
+            ),
+            "boolean": ("CurrentlyInGroup", "IncomeVerifiable", "IsBorrowerHomeowner"),
+            "timestamp": ("ClosedDate", "ListingCreationDate", "LoanOriginationDate", "DateCreditPulled", "FirstRecordedCreditLine"),
         }
-        if role not in patterns:
-            raise AttributeError(role)
-        return patterns[role].format(self.platform)
+        return {column: kind for kind, columns in types.items() for column in columns}
 
     def drop_groups(self) -> list[DropGroup]:
         """The thirteen domain-reduction stages, 81 columns down to 23."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import modeling, scoring
 from ..operators.correlation import corr_with_target
+from ..operators.dictionary import fit_dictionary, index_columns
 from ..operators.profiling import missing_summary
 from ..operators.splitting import ClassWeights, hash_split
 from ..session import scratch_path
@@ -149,6 +150,20 @@ def string_index(t: Tables):
     return indexer.fit(t.orders).transform(t.orders).groupBy("o_orderpriority", "slot").agg(F.count("*").alias("n"))
 
 
+@query("dictionary_index", """
+    WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 1),
+    d AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS slot FROM c),
+    p AS (SELECT CAST(l_orderkey AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 5),
+    e AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS slot FROM p)
+    SELECT l_orderkey, l_linenumber, d.slot AS l_suppkey_slot, coalesce(e.slot, (SELECT count(*) FROM p)) AS l_orderkey_slot
+    FROM lineitem JOIN d ON d.value = CAST(l_suppkey AS VARCHAR) LEFT JOIN e ON e.value = CAST(l_orderkey AS VARCHAR)""")
+def dictionary_index(t: Tables):
+    """Two identifier columns as slots of a dictionary table: all suppliers, and the orders of five lines or more with one overflow slot for the rest."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey")
+    indexed = index_columns(rows, fit_dictionary(rows, ["l_suppkey"]), ["l_suppkey"])
+    return index_columns(indexed, fit_dictionary(rows, ["l_orderkey"], min_rows=5), ["l_orderkey"]).drop("l_suppkey")
+
+
 @query("scaled_vector_stats", f"""
     WITH s AS (
         SELECT 'l_linestatus__onehot_F' AS slot, CAST(l_linestatus = 'F' AS INTEGER) AS x FROM lineitem

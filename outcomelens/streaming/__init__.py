@@ -1,3 +1,4 @@
-from .scoring import decode, parse, score, score_stream, split_valid, write_batch
+from .scoring import commit_log, committed, decode, parse, read_committed, score, score_stream, split_valid, write_batch
+from .stopping import OrderlyStop, file_mark
 
-__all__ = ["decode", "parse", "score", "score_stream", "split_valid", "write_batch"]
+__all__ = ["OrderlyStop", "commit_log", "committed", "decode", "file_mark", "parse", "read_committed", "score", "score_stream", "split_valid", "write_batch"]

@@ -6,13 +6,16 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_, or_
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from .stopping import OrderlyStop
+
 CORRUPT = "_corrupt"
 
 
@@ -62,24 +65,52 @@ def score(
     )
 
 
+def commit_log(out: str) -> str:
+    """Folder of the commit markers; its leading underscore hides it from scans of ``out``."""
+    return f"{out.rstrip('/')}/_commits"
+
+
+def committed(spark: SparkSession, out: str) -> DataFrame:
+    """(run, batch_id, scored, rejected): the batches of which both outputs are whole."""
+    try:
+        return spark.read.schema("scored long, rejected long, run string, batch_id long").parquet(commit_log(out))
+    except AnalysisException:  # no batch yet
+        return spark.createDataFrame([], "scored long, rejected long, run string, batch_id long")
+
+
+def read_committed(spark: SparkSession, out: str, folder: str | None = None) -> DataFrame:
+    """Rows of ``out`` (or of ``folder``, the quarantine beside it) that belong to committed batches. A batch shows in both or in neither."""
+    rows = spark.read.parquet(folder or out)
+    rows = rows.withColumns({"run": F.col("run").cast("string"), "batch_id": F.col("batch_id").cast("long")})
+    return rows.join(committed(spark, out).select("run", "batch_id"), ["run", "batch_id"], "left_semi").select(rows.columns)
+
+
 def write_batch(
     schema: T.StructType, model: PipelineModel, out: str, quarantine: str, required: Sequence[str] = (),
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function. Each batch owns ``run=<query id>/batch_id=<n>``, so writing it again replaces it.
+    """``foreachBatch`` function. Each batch owns ``run=<query id>/batch_id=<n>`` of both folders, so writing it again replaces it.
 
     The query id belongs to the checkpoint and survives restarts from it. Batch numbers restart with a new checkpoint, whose
-    batches go to another ``run`` of the same folders.
+    batches go to another ``run`` of the same folders. A marker with the row counts of both is written last: ``read_committed``
+    shows a batch only with it. A batch that has its marker is not written again when it is replayed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        if not committed(spark, out).where((F.col("run") == run) & (F.col("batch_id") == batch_id)).isEmpty():
+            return
         batch = parse(batch, schema, required).persist()  # parsed once for both outputs
         try:
             if batch.isEmpty():
                 return
-            run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+            place = f"run={run}/batch_id={batch_id}"
             records, rejected = split_valid(batch, schema)
-            score(records, model).write.mode("overwrite").parquet(f"{out}/run={run}/batch_id={batch_id}")
-            rejected.write.mode("overwrite").parquet(f"{quarantine}/run={run}/batch_id={batch_id}")
+            score(records, model).write.mode("overwrite").parquet(f"{out}/{place}")
+            rejected.write.mode("overwrite").parquet(f"{quarantine}/{place}")
+            counts = [tuple(spark.read.parquet(f"{folder}/{place}").count() for folder in (out, quarantine))]  # from the files' footers
+            marker = spark.createDataFrame(counts, "scored long, rejected long").coalesce(1)
+            marker.write.mode("overwrite").parquet(f"{commit_log(out)}/{place}")
         finally:
             batch.unpersist()
 
@@ -88,9 +119,10 @@ def write_batch(
 
 def score_stream(
     stream: DataFrame, schema: T.StructType, model: PipelineModel, out: str, quarantine: str, checkpoint: str,
-    required: Sequence[str] = (), every: str | None = "5 seconds",
+    required: Sequence[str] = (), every: str | None = "5 seconds", stop: OrderlyStop | None = None,
 ) -> StreamingQuery:
-    """Start scoring; ``every=None`` processes what is there and stops."""
+    """Start scoring; ``every=None`` processes what is there and stops. With ``stop`` the query ends between two batches."""
+    write = write_batch(schema, model, out, quarantine, required)
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    writer = writer.foreachBatch(write_batch(schema, model, out, quarantine, required))
+    writer = writer.foreachBatch(stop.between(write) if stop else write)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -28,6 +28,10 @@ def loan(draw, i):
     risk = draw.random()
     row = {c: f"{draw.random():.4f}" for g in P.drop_groups() for c in g.columns}
     row |= {c: f"{draw.random():.4f}" for c in KEPT}
+    kinds = P.declared()
+    row |= {c: str(draw.randrange(1000)) for c in row if kinds.get(c) == "int"}
+    row |= {c: draw.choice(["True", "False"]) for c in row if kinds.get(c) == "boolean"}
+    row |= {c: "2014-03-04 10:11:12.130000000" for c in row if kinds.get(c) == "timestamp"}
     row |= {c: str(draw.choice([0, 0, 1, 2, 4, 9])) for c in INTS}
     apr = round(0.05 + 0.3 * risk + draw.gauss(0, 0.01), 5)
     status = draw.choice(["Current", "Past Due"]) if draw.random() < 0.3 else (
@@ -92,6 +96,10 @@ def test_jobs_from_csv_to_scored_stream(spark, folder, run):
     shape = report(spark, at, "check", "shape").first()
     assert (shape["row_count"], shape["column_count"], shape["accepted"]) == (2700, 81, False)
 
+    assert report(spark, at, "check", "fields").agg(F.sum("failed")).first()[0] == 0 and not os.path.exists(f"{at}/raw-quarantine")
+    assert report(spark, at, "check", "fields").filter("present IS NOT NULL").count() == 1 + len(P.declared())
+    assert dict(spark.read.parquet(f"{at}/raw").dtypes) | P.declared() == dict(spark.read.parquet(f"{at}/raw").dtypes)
+
     run("segments", table=f"{at}/raw", reports=f"{at}/reports/segments")
     assert len(os.listdir(f"{at}/reports/segments")) == 18
 
@@ -106,7 +114,12 @@ def test_jobs_from_csv_to_scored_stream(spark, folder, run):
     run("prepare", reduced=f"{at}/reduced", classification=f"{at}/cls", regression=f"{at}/reg",
         reports=f"{at}/reports/prepare")
     assert tuple(report(spark, at, "prepare", "duplicates").first()) == (2700, 2600)
+    progress = {(r["stage"], r["metric"]): r["value"] for r in report(spark, at, "prepare", "progress").collect()}
     cls = spark.read.parquet(f"{at}/cls")
+    assert progress["read", "rows"] == 2700 and progress["distinct", "rows"] == 2600 and progress["classification", "rows"] == cls.count()
+    assert progress["classification", "test"] == cls.filter("part = 'test'").count() > 0
+    reduced = {(r["stage"], r["metric"]): r["value"] for r in report(spark, at, "reduce", "progress").collect()}
+    assert reduced["reduced", "rows"] == 2700 and reduced["domain", "columns"] == 23
     assert {"label", "credit_history_days", "listing_month"} <= set(cls.columns)
     assert not {"LoanStatus", "BorrowerAPR", "DateCreditPulled"} & set(cls.columns)
     assert all(r["missing_count"] == 0 for r in missing_summary(cls).collect())
@@ -133,6 +146,23 @@ def test_jobs_from_csv_to_scored_stream(spark, folder, run):
     assert spark.read.parquet(f"{at}/bad").count() == 0
 
 
+def test_check_table_quarantines_and_accounts(spark, folder, run, tmp_path):
+    draw = random.Random(9)
+    rows = [loan(draw, i) for i in range(60)]
+    rows[3]["Term"], rows[4]["Term"], rows[4]["ClosedDate"], rows[5]["IsBorrowerHomeowner"] = "many", "36.5", "soon", "perhaps"
+    with open(tmp_path / "loans.csv", "w", newline="") as out:
+        writer = csv.DictWriter(out, list(rows[0]))
+        writer.writeheader()
+        writer.writerows(rows)
+        out.write("too,short\n")
+    run("check_table", csv=f"{tmp_path}/loans.csv", table=f"{tmp_path}/raw", reports=f"{tmp_path}/reports/check")
+    fields = {r["field"]: (r["present"], r["failed"]) for r in report(spark, tmp_path, "check", "fields").collect()}
+    assert fields["Term"] == (58, 2) and fields["(record)"] == (60, 1) and fields["IsBorrowerHomeowner"] == (59, 1) and fields["ClosedDate"] == (59, 1)
+    assert spark.read.parquet(f"{tmp_path}/raw").count() == 57 and spark.read.parquet(f"{tmp_path}/raw-quarantine").count() == 4
+    progress = {(r["stage"], r["metric"]): r["value"] for r in report(spark, tmp_path, "check", "progress").collect()}
+    assert progress == {("read", "rows"): 61, ("read", "bad_rows"): 4, ("read", "bad_records"): 1, ("kept", "rows"): 57}
+
+
 APR, LOSS = "round(avg(BorrowerAPR), 4)", (
     "round(avg(CASE WHEN LoanStatus IN ('Chargedoff', 'Defaulted') THEN 1.0::DOUBLE "
     "WHEN LoanStatus = 'Completed' THEN 0.0::DOUBLE END) * 100, 2)")

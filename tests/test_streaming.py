@@ -1,12 +1,13 @@
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outcomelens.operators.modeling import feature_stages
 from outcomelens.sources import publish, read_message_stream, to_messages
-from outcomelens.streaming import decode, score, score_stream, write_batch
+from outcomelens.streaming import OrderlyStop, committed, decode, file_mark, read_committed, score, score_stream, write_batch
 
 SCHEMA = T.StructType([
     T.StructField("k", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("kind", T.StringType())])
@@ -84,3 +85,91 @@ def test_replayed_batch_leaves_one_copy(spark, model, tmp_path):
     write(batch.limit(0), 6)
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == 3 and [r["batch_id"] for r in out.select("batch_id").distinct().collect()] == [5]
+
+
+def test_a_crash_between_the_writes_shows_nothing(spark, model, rows, tmp_path, monkeypatch):
+    out, bad = f"{tmp_path}/out", f"{tmp_path}/bad"
+    write = write_batch(SCHEMA, model, out, bad, ["k"])
+    batch = spark.createDataFrame([(m,) for m in GOOD + BAD[:2]], "value string")
+    write(batch.limit(1), 4)
+    whole = DataFrameWriter.parquet
+    for step in ("bad/", "_commits/"):
+
+        def crash(self, path, *args, step=step, **kwargs):
+            if step in path:
+                raise OSError("lost")
+            return whole(self, path, *args, **kwargs)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(DataFrameWriter, "parquet", crash)
+            with pytest.raises(OSError):
+                write(batch, 5)
+        assert spark.read.parquet(out).filter("batch_id = 5").count() == 3  # half of it is there
+        assert rows(committed(spark, out), "batch_id") == [(4,)]
+        assert read_committed(spark, out).count() == 1
+    write(batch, 5)
+    assert rows(committed(spark, out), "batch_id", "scored", "rejected") == [(4, 1, 0), (5, 3, 2)]
+    assert rows(read_committed(spark, out), "k") == [(1,), (1,), (2,), (3,)] and read_committed(spark, out, bad).count() == 2
+    before = sorted(p.name for p in (tmp_path / "out").rglob("*.parquet"))
+    write(batch, 5)  # whole already: a replay leaves it
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*.parquet")) == before
+
+
+def test_no_batch_yet(spark, tmp_path):
+    assert committed(spark, f"{tmp_path}/nothing").count() == 0
+
+
+def test_stop_finishes_the_batch_and_a_restart_goes_on(spark, model, rows, tmp_path):
+    records = spark.range(60).select(F.col("id").alias("k"), (F.col("id") / 60).alias("x"), F.lit("a").alias("kind"))
+    for part in range(6):
+        publish(records.filter(F.col("k") % 6 == part).coalesce(1), "text", f"{tmp_path}/topic")
+    out, mark = f"{tmp_path}/out", tmp_path / "stop"
+
+    def run(stop, every):
+        stream = read_message_stream(spark, "text", f"{tmp_path}/topic", maxFilesPerTrigger=1)
+        query = score_stream(stream, SCHEMA, model, out, f"{tmp_path}/bad", f"{tmp_path}/cp", ["k"], every=every, stop=stop)
+        stop.wait(query)
+        assert not query.isActive
+
+    class AfterTwo(OrderlyStop):
+        def onQueryProgress(self, event):
+            if event.progress.batchId == 1:
+                mark.write_text("")
+            super().onQueryProgress(event)
+
+    run(AfterTwo(file_mark(spark, str(mark))), "0 seconds")
+    batches = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out").glob("run=*/batch_id=*"))
+    done = sorted(r["batch_id"] for r in committed(spark, out).collect())
+    assert batches == done and 2 <= len(done) < 6  # nothing half written, and not all
+    mark.unlink()
+    run(OrderlyStop(file_mark(spark, str(mark))), None)
+    assert sorted(r["k"] for r in read_committed(spark, out).collect()) == list(range(60))
+    assert spark.read.parquet(out).count() == 60
+
+
+def test_an_idle_stream_stops_and_failures_are_raised(spark, model, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataProgressEventInterval", "500")
+    publish(spark.range(1).select(F.col("id").alias("k")), "text", f"{tmp_path}/topic")
+
+    def start(stop):
+        stream = read_message_stream(spark, "text", f"{tmp_path}/topic")
+        return score_stream(stream, SCHEMA, model, f"{tmp_path}/out", f"{tmp_path}/bad", f"{tmp_path}/cp", every="0 seconds", stop=stop)
+
+    class Idle(OrderlyStop):
+        def onQueryIdle(self, event):
+            self.ask()
+
+    stop = Idle()
+    stop.wait(start(stop), poll=0.1)
+    assert stop.finished[:1] == [0]
+
+    class Failing(OrderlyStop):
+        def between(self, write):
+            def fail(batch, batch_id):
+                raise ValueError("no room")
+            return fail
+
+    publish(spark.range(1).select(F.col("id").alias("k")), "text", f"{tmp_path}/topic")
+    failing = Failing()
+    with pytest.raises(Exception, match="no room"):
+        failing.wait(start(failing))
