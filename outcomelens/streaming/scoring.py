@@ -123,6 +123,8 @@ def score_stream(
 ) -> StreamingQuery:
     """Start scoring; ``every=None`` processes what is there and stops. With ``stop`` the query ends between two batches."""
     write = write_batch(schema, model, out, quarantine, required)
+    if stop:
+        stream.sparkSession.streams.addListener(stop)
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(stop.between(write) if stop else write)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -15,16 +15,16 @@ class StopAsked(Exception):
 
 
 class OrderlyStop(StreamingQueryListener):
-    """Asks a query to stop, by ``ask`` or by a mark that is looked for after every batch and whenever the query is idle.
+    """Asks a query to stop, by ``ask`` or by a mark that is looked for after every batch and while waiting.
 
-    A mark is anything that another process can set, such as a file (``file_mark``).
+    A mark is anything that another process can set, such as a file (``file_mark``). ``score_stream`` registers it before the query starts, ``wait`` takes
+    it away.
     """
 
     def __init__(self, marked: Callable[[], bool] = lambda: False):
         self.marked = marked
         self.asked = threading.Event()
-        self.finished: list[int] = []  # batches of the query that is waited for
-        self.query: str | None = None
+        self.finished: dict[str, list[int]] = {}  # query id: its finished batches
 
     def ask(self) -> None:
         self.asked.set()
@@ -39,36 +39,34 @@ class OrderlyStop(StreamingQueryListener):
 
         return gated
 
-    def wait(self, query: StreamingQuery, poll: float = 0.2) -> None:
+    def wait(self, query: StreamingQuery, poll: float = 1.0) -> None:
         """Return when the query has ended by itself or by the stop. Its own failures are raised."""
-        spark = SparkSession.active()
-        self.query = str(query.id)
-        spark.streams.addListener(self)
         try:
             while query.isActive and not query.awaitTermination(poll):
-                # from here on no batch is let in, so one that is not running has nothing to lose
-                if self.asked.is_set() and not query.status["isTriggerActive"]:
+                self._look()
+                status = query.status
+                # from here on no batch is let in, so a query that has none in work has nothing to lose
+                if self.asked.is_set() and not (status["isTriggerActive"] and status["isDataAvailable"]):
                     query.stop()
         except StreamingQueryException as error:
             if StopAsked.__name__ not in str(error):
                 raise
         finally:
-            spark.streams.removeListener(self)
+            SparkSession.active().streams.removeListener(self)
 
     def _look(self) -> None:
         if self.marked():
             self.ask()
 
     def onQueryStarted(self, event) -> None:
-        self._look()
+        pass
 
     def onQueryProgress(self, event) -> None:
-        if str(event.progress.id) == self.query:
-            self.finished.append(event.progress.batchId)
+        self.finished.setdefault(str(event.progress.id), []).append(event.progress.batchId)
         self._look()
 
     def onQueryIdle(self, event) -> None:
-        self._look()
+        pass
 
     def onQueryTerminated(self, event) -> None:
         pass
