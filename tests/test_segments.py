@@ -93,3 +93,24 @@ def test_date_features_from_text_and_timestamps(spark):
     got = date_features(df, {"a": "a", "x": "absent"}, {"days": ("a", "b"), "none": ("a", "absent")}, drop=["a", "b", "z"])
     assert got.columns == ["a_year", "a_month", "days"]
     assert [tuple(r) for r in got.collect()] == [(2012, 3, 60), (None, None, None)]
+
+
+def test_correlations_come_from_the_scan_of_the_report(spark, tmp_path):
+    import random
+
+    import numpy as np
+    draw = random.Random(8)
+    data = []
+    for i in range(800):
+        x = draw.gauss(1e6, 1)
+        data.append((draw.choice(["a", "b", "c", None]), x, draw.choice([None, x + draw.gauss(0, 2)]), 4.0, i))
+    spark.createDataFrame(data, "g string, x double, y double, flat double, i int").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    report = segment_report(df, {"g": "g"}, {"top": F.max("i")}, require=["g"], min_rows=1, correlations={"xy": ("x", "y"), "xf": ("x", "flat")}, digits=9)
+    both = [(x, y) for _, x, y, _, _ in data if y is not None]
+    want = float(np.corrcoef(*zip(*both))[0, 1])
+    assert {r["g"] for r in report.collect()} == {"a", "b", "c"}
+    assert all(abs(r["xy"] - want) < 1e-6 and r["xf"] is None for r in report.collect())
+    assert "Scan parquet" not in report._jdf.queryExecution().executedPlan().toString()  # the table was read before, once
+    nothing = segment_report(df.limit(0), {"g": "g"}, {}, require=["g"], correlations={"xy": ("x", "y")})
+    assert nothing.collect() == []
