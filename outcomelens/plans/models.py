@@ -1,7 +1,8 @@
 """Feature-scoring and model queries over the test tables.
 
-The status of the test records is noise, so models learn a rule of the data: a record is bad when its discounted price
-exceeds 45000. Settings are small; the operators' defaults are the full ones.
+Nothing in the test records tells their status or price beforehand, so models learn a rule with noise: a record's size is its discounted quantity plus a draw by
+its key; a record is bad when its size passes a bound. No feature holds the size or the label, and what can be reached at best is
+known: the area and the error of the discounted quantity itself. Settings are small; the operators' defaults are the full ones.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import modeling, scoring
 from ..operators.correlation import corr_with_target
 from ..operators.dictionary import fit_dictionary, index_columns
+from ..operators.evaluation import exact_auc
 from ..operators.profiling import missing_summary
-from ..operators.splitting import ClassWeights, hash_split
+from ..operators.splitting import ClassWeights, hash_bucket, hash_split
 from ..session import scratch_path
 from ..streaming import score
 from .registry import query
@@ -29,21 +32,29 @@ from .tables import BUCKET_SQL, RECORDS_SQL, ROW_KEY, TARGET, Tables
 KEYS = ", ".join(ROW_KEY)
 NUMERIC = ["l_quantity", "l_discount", "l_tax", "discount_n"]
 CATEGORICAL = ["l_linestatus", "l_returnflag"]
-AUC_FLOOR = 0.9
+SIZE = "size"
 SMALL_CLASSIFIERS = dict(lr_iter=15, trees=5, forest_depth=4, boost_iter=5, boost_depth=3)
 SMALL_REGRESSORS = dict(lr_iter=15, trees=5, forest_depth=4, boost_iter=5, boost_depth=3, step=0.3)
 
 
 def learnable(t: Tables):
-    label = (F.col(TARGET) * (1 - F.col("l_discount")) > 45000).cast("int")
-    return t.records().select(*ROW_KEY, *NUMERIC, *CATEGORICAL, TARGET, label.alias("label"))
+    draw = hash_bucket(ROW_KEY, 1 << 32, "draw") / F.lit(float(1 << 32))
+    size = F.col("l_quantity") * (1 - F.col("l_discount")) + 20 * draw
+    return t.records().withColumn(SIZE, size).select(*ROW_KEY, *NUMERIC, *CATEGORICAL, SIZE, (F.col(SIZE) > 33).cast("int").alias("label"))
+
+
+def best_score():
+    """What a model that knew the rule would score a record with."""
+    return F.col("l_quantity") * (1 - F.col("l_discount"))
 
 
 def parts(t: Tables):
     return hash_split(learnable(t), ROW_KEY, {"train": 7, "test": 2, "stream": 1})
 
 
-LABEL_SQL = f"(SELECT *, CASE WHEN l_extendedprice * (1 - l_discount) > 45000 THEN 1 ELSE 0 END AS label FROM {RECORDS_SQL})"
+DRAW_SQL = BUCKET_SQL.replace("concat_ws('-', ''", "concat_ws('-', 'draw'")
+SIZE_SQL = f"l_quantity * (1 - l_discount) + 20 * ({DRAW_SQL} / CAST(4294967296 AS DOUBLE))"
+LABEL_SQL = f"(SELECT *, {SIZE_SQL} AS size, CASE WHEN {SIZE_SQL} > 33 THEN 1 ELSE 0 END AS label FROM {RECORDS_SQL})"
 
 
 def _chi_sql(feature: str, value: str) -> str:
@@ -117,15 +128,20 @@ def score_combine(t: Tables):
 
 
 def _sound(ranked, score: str, digits: int):
-    """Feature, kind, exact score, its share of the highest one, and what must hold of the forest's part and the ranks."""
-    return ranked.select(
-        "feature", "feature_type", F.round(score, digits).alias(score), F.col("random_forest_importance").between(0, 1).alias("importance_in_range"),
-        F.col("rank").between(1, len(NUMERIC) + len(CATEGORICAL)).alias("rank_in_range"), "selected")
+    """Feature, kind, exact score, whether it ranks first, and what must hold of the forest's part: importances that are shares of one, and ranks that follow the two
+    scores, each a share of its highest value."""
+    whole = Window.partitionBy()  # one row per feature
+    parts = [F.col(c) / F.max(c).over(whole) for c in (score, "random_forest_importance")]
+    follows = F.row_number().over(whole.orderBy(F.round(0.5 * parts[0] + 0.5 * parts[1], 6).desc(), "feature"))
+    return ranked.withColumns({"_follows": follows, "_all": F.sum("random_forest_importance").over(whole)}).select(
+        "feature", "feature_type", F.round(score, digits).alias(score),
+        (F.col("random_forest_importance").between(0, 1) & (F.abs(F.col("_all") - 1) < 1e-6)).alias("shares_of_one"),
+        (F.col("rank") == 1).alias("first"), (F.col("rank") == F.col("_follows")).alias("rank_follows"), "selected")
 
 
 @query("feature_rank", f"""
     SELECT feature, CASE WHEN feature IN ('l_linestatus', 'l_returnflag') THEN 'categorical' ELSE 'numeric' END AS feature_type,
-        round(statistic, 2) AS chi_square_score, TRUE AS importance_in_range, TRUE AS rank_in_range, TRUE AS selected
+        round(statistic, 2) AS chi_square_score, TRUE AS shares_of_one, feature = 'l_quantity' AS first, TRUE AS rank_follows, TRUE AS selected
     FROM ({CHI_SQL.replace(LABEL_SQL, TRAIN_SQL)})""")
 def feature_rank(t: Tables):
     return _sound(scoring.classification_scores(
@@ -133,13 +149,13 @@ def feature_rank(t: Tables):
 
 
 @query("feature_rank_regression", " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, '{kind}' AS feature_type, {score} AS absolute_correlation, TRUE AS importance_in_range, "
-    f"TRUE AS rank_in_range, TRUE AS selected"
+    f"SELECT '{c}' AS feature, '{kind}' AS feature_type, {score} AS absolute_correlation, TRUE AS shares_of_one, "
+    f"'{c}' = 'l_quantity' AS first, TRUE AS rank_follows, TRUE AS selected"
     for kind, names in (("numeric", NUMERIC), ("categorical", CATEGORICAL)) for c in names
-    for score in [f"(SELECT round(abs(corr({c}, {TARGET})), 6) FROM {TRAIN_SQL})" if kind == "numeric" else "CAST(0 AS DOUBLE)"]))
+    for score in [f"(SELECT round(abs(corr({c}, {SIZE})), 6) FROM {TRAIN_SQL})" if kind == "numeric" else "CAST(0 AS DOUBLE)"]))
 def feature_rank_regression(t: Tables):
     return _sound(scoring.regression_scores(
-        parts(t)["train"], NUMERIC, CATEGORICAL, TARGET, trees=5, depth=4, spread_by=ROW_KEY), "absolute_correlation", 6)
+        parts(t)["train"], NUMERIC, CATEGORICAL, SIZE, trees=5, depth=4, spread_by=ROW_KEY), "absolute_correlation", 6)
 
 
 @query("string_index", """
@@ -216,42 +232,61 @@ def _weighted(t: Tables):
 TEST_SQL = f"(SELECT * FROM {LABEL_SQL} WHERE {BUCKET_SQL} % 10 BETWEEN 7 AND 8)"
 
 
+#: How far the small models may stay behind the best that can be reached: area lost, and error as a multiple. Measured on the tables: 0.001, 0.08 and 0.001; 1.003, 1.39 and 1.06.
+AREA_LOST = {"Logistic Regression": 0.01, "Random Forest": 0.12, "GBTClassifier": 0.01}
+ERROR_TIMES = {"Linear Regression": 1.02, "Random Forest Regressor": 1.6, "GBTRegressor": 1.12}
+
+
+def _allowed(limits: dict[str, float]):
+    return F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("model")]
+
+
 @query("train_classifiers", f"""
-    SELECT unnest(['Logistic Regression', 'Random Forest', 'GBTClassifier']) AS model,
-        (SELECT count(*) FROM {TEST_SQL}) AS n, (SELECT count(*) FROM {TEST_SQL} WHERE label = 1) AS positives, TRUE AS learns""")
+    WITH r AS (
+        SELECT label, rank() OVER (ORDER BY l_quantity * (1 - l_discount)) AS low, count(*) OVER (PARTITION BY l_quantity * (1 - l_discount)) AS ties
+        FROM {TEST_SQL}),
+    f AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS positives,
+        sum(low + (ties - 1) / CAST(2 AS DOUBLE)) FILTER (WHERE label = 1) AS ranks FROM r)
+    SELECT unnest(['Logistic Regression', 'Random Forest', 'GBTClassifier']) AS model, n, positives,
+        round((ranks - CAST(positives AS DOUBLE) * (positives + 1) / 2) / (CAST(positives AS DOUBLE) * (n - positives)), 4) AS best_area,
+        TRUE AS near_best, TRUE AS adds_up FROM f""")
 def train_classifiers(t: Tables):
-    """Per model the test rows and positives that its confusion adds up to, and whether it learns the rule: a ROC area of 0.9 or
-    more with the price among the features. The full metrics are the operator's."""
+    """Per model the test rows and positives that its confusion adds up to, the ROC area of the rule itself, whether the model's comes as near to it as was measured, and
+    whether accuracy, precision and recall are what the confusion says."""
     train, test = _weighted(t)
     specs = modeling.classifier_specs(**SMALL_CLASSIFIERS)
-    found = modeling.compare_classifiers(train, test, [*NUMERIC, TARGET], CATEGORICAL, specs, spread_by=ROW_KEY).metrics
-    return found.select(
-        "model", F.expr("tn + fp + fn + tp").alias("n"), F.expr("tp + fn").alias("positives"),
-        ((F.col("roc_auc") >= AUC_FLOOR) & F.col("roc_auc").between(0, 1) & F.col("pr_auc").between(0, 1)).alias("learns"))
-
-
-PRICES_SQL = f"(SELECT *, {BUCKET_SQL} % 10 < 8 AS train FROM lineitem)"
+    found = modeling.compare_classifiers(train, test, NUMERIC, CATEGORICAL, specs, spread_by=ROW_KEY).metrics
+    best = exact_auc(test, "label", best_score(), 4).select("roc_auc").scalar()
+    lost = F.col("best_area") - F.col("roc_auc")
+    adds_up = (
+        (F.abs(F.col("accuracy") - F.expr("(tp + tn) / (tn + fp + fn + tp)")) < 1e-4) & (F.abs(F.col("bad_recall") - F.expr("tp / (tp + fn)")) < 1e-4)
+        & (F.abs(F.col("bad_precision") - F.expr("tp / (tp + fp)")) < 1e-4))
+    return found.withColumn("best_area", best).select(
+        "model", F.expr("tn + fp + fn + tp").alias("n"), F.expr("tp + fn").alias("positives"), "best_area",
+        ((lost <= _allowed(AREA_LOST)) & (lost > -0.005) & F.col("pr_auc").between(0.5, 1)).alias("near_best"), adds_up.alias("adds_up"))
 
 
 @query("train_regressors", f"""
-    WITH base AS (SELECT avg(l_extendedprice) AS m FROM {PRICES_SQL} WHERE train),
-    e AS (SELECT l_extendedprice AS y, l_extendedprice - m AS d, m FROM {PRICES_SQL}, base WHERE NOT train)
+    WITH s AS (SELECT *, {BUCKET_SQL} % 10 < 8 AS train, l_quantity * (1 - l_discount) + 10 AS known FROM {LABEL_SQL}),
+    base AS (SELECT avg(size) AS m FROM s WHERE train),
+    e AS (SELECT size AS y, size - m AS d, size - known AS noise, m FROM s, base WHERE NOT train)
     SELECT model, (SELECT count(*) FROM e) AS n, (SELECT count(*) FROM e WHERE y = 0) AS zero_targets,
-        model <> 'Baseline Mean Predictor' AS beats_the_mean,
+        (SELECT round(sqrt(avg(noise * noise)), 3) FROM e) AS best_rmse, model <> 'Baseline Mean Predictor' AS near_best,
         CASE WHEN model = 'Baseline Mean Predictor' THEN (SELECT round(sqrt(avg(d * d)), 3) FROM e) END AS baseline_rmse,
         CASE WHEN model = 'Baseline Mean Predictor' THEN (SELECT round(avg(abs(d)), 3) FROM e) END AS baseline_mae,
         CASE WHEN model = 'Baseline Mean Predictor' THEN (SELECT round(max(m), 3) FROM e) END AS baseline_mean
     FROM (SELECT unnest(['Baseline Mean Predictor', 'Linear Regression', 'Random Forest Regressor', 'GBTRegressor']) AS model)""")
 def train_regressors(t: Tables):
-    """Per model the test rows and whether it beats the train mean (the label, a cut of the price, is among the features); for that mean its errors. The full metrics are the operator's."""
+    """Per model the test rows, the error of the rule itself, and whether the model's comes as near to it as was measured; for the train mean its errors."""
     split = hash_split(learnable(t), ROW_KEY, {"train": 8, "test": 2})
-    specs = modeling.regressor_specs(TARGET, **SMALL_REGRESSORS)
-    found = modeling.compare_regressors(
-        split["train"], split["test"], [*NUMERIC, "label"], CATEGORICAL, TARGET, specs, spread_by=ROW_KEY).metrics
+    specs = modeling.regressor_specs(SIZE, **SMALL_REGRESSORS)
+    found = modeling.compare_regressors(split["train"], split["test"], NUMERIC, CATEGORICAL, SIZE, specs, spread_by=ROW_KEY).metrics
     is_base = F.col("model") == modeling.BASELINE
-    base = found.where(is_base).select("rmse").scalar()
-    return found.select(
-        "model", "n", "zero_targets", (F.col("rmse") < base).alias("beats_the_mean"),
+    noise = F.col(SIZE) - best_score() - 10
+    best = split["test"].agg(F.round(F.sqrt(F.avg(noise * noise)), 3).alias("rmse")).scalar()
+    times = F.col("rmse") / F.col("best_rmse")
+    return found.withColumn("best_rmse", best).select(
+        "model", "n", "zero_targets", "best_rmse", (~is_base & (times <= _allowed(ERROR_TIMES)) & (times > 0.98)).alias("near_best"),
         *[F.when(is_base, F.round(c, 3)).alias(name) for c, name in (
             ("rmse", "baseline_rmse"), ("mae", "baseline_mae"), ("baseline_mean", "baseline_mean"))])
 
@@ -266,15 +301,17 @@ FEATURES_SQL = "(SELECT unnest({}) AS feature, 'numeric' AS feature_type UNION A
 
 
 @query("importance_rollup", f"""
-    SELECT feature, feature_type, TRUE AS share_in_range, CAST(100 AS DOUBLE) AS all_shares, 21 AS all_ranks FROM {FEATURES_SQL}""")
+    SELECT feature, feature_type, TRUE AS share_in_range, CAST(100 AS DOUBLE) AS all_shares, feature = 'l_quantity' AS first, TRUE AS rank_follows
+    FROM {FEATURES_SQL}""")
 def importance_rollup(t: Tables):
-    """Every feature with its kind and what must hold of the shares: between 0 and 100, together 100; ranks 1 to 6."""
+    """Every feature with its kind, whether it ranks first, and what must hold of the shares: between 0 and 100, together 100, and ranks that follow them."""
     train, _ = _weighted(t)
     rolled = modeling.importance_rollup(forest(train), train, NUMERIC, CATEGORICAL)
+    whole = Window.partitionBy()  # one row per feature
     return rolled.select(
         "feature", "feature_type", F.col("importance_pct").between(0, 100).alias("share_in_range"),
-        F.lit(rolled.agg(F.round(F.sum("importance_pct"), 2)).first()[0]).alias("all_shares"),
-        F.lit(rolled.agg(F.sum("rank")).first()[0]).alias("all_ranks"))
+        F.round(F.sum("importance_pct").over(whole), 2).alias("all_shares"), (F.col("rank") == 1).alias("first"),
+        (F.col("rank") == F.row_number().over(whole.orderBy(F.desc("importance"), "feature"))).alias("rank_follows"))
 
 
 @query("model_roundtrip_score", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM lineitem")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import ColumnGroups
+from ..config import ColumnGroups, feature_types
 from ..operators import preparation as prep
 from ..operators import splitting
 from ..operators.ordering import exact_quantiles
@@ -114,6 +114,22 @@ def labelled(t: Tables):
     return prep.label_set(t.lineitem, STATUS, NEGATIVE, POSITIVE)
 
 
+KIND_COLUMNS = {"l_orderkey": "numeric", "l_linenumber": "numeric", "l_quantity": "numeric", "tax_known": "numeric", "l_returnflag": "categorical",
+                "is_final": "categorical", "l_shipdate": "other"}
+
+
+@query("feature_kinds", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, '{kind}' AS kind, count({c}) AS present FROM {RECORDS_SQL}" for c, kind in KIND_COLUMNS.items()))
+def feature_kinds(t: Tables):
+    """Kind of each column by its type, with its present values; dates are no features."""
+    records = t.records().select(*KIND_COLUMNS)
+    types = feature_types(records)
+    kinds = {c: "numeric" if c in types.numeric else "categorical" if c in types.categorical else "other" for c in records.columns}
+    counts = records.agg(*[F.count(c).alias(c) for c in records.columns])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(kind).alias("kind"), F.col(c).alias("present")) for c, kind in kinds.items()])))
+
+
 @query("split_counts", f"""
     SELECT {SPLIT_SQL} AS part, CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS BIGINT) AS label, count(*) AS n
     FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1, 2""")
