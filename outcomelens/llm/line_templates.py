@@ -12,9 +12,9 @@ Lines that are alike byte for byte are counted beside the templates, whatever sh
 documents, those of ``LONG`` words or more in ``PAIR``. The first line of a template is always the first of its like, so it stays.
 
 Spread: lines are counted by hash with a merge before the shuffle, so a line that every document holds is a few rows. Only leaves that hold several
-different lines and enough documents need texts; each of their lines travels once. Leaves with more than ``CELL`` lines are parsed in cells by
+different lines and enough documents need texts: a bit field keeps the others in their tasks, and a line leaves its task once. Leaves with more than ``CELL`` lines are parsed in cells by
 hash, and the cells' templates are then parsed against each other: that order of arrival is fixed (documents, then text), not by chance.
-Whole texts meet only the list of their own dropped places.
+Documents that lose a line meet the list of their dropped places; the others are not dealt out.
 
 Lines and documents are named by 64-bit hashes of their content.
 
@@ -33,6 +33,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .arrow import map_rows, plain_rows, ship
 from .components import written
+from .fields import hashed_field, held
 
 LEADING = 3
 SIMILAR = 0.7
@@ -129,7 +130,9 @@ def templates(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, min
         F.col("_docs") >= F.when(F.col("_long"), min(FEW, min_docs)).otherwise(min_docs))
     busy = written(counted.join(leaves, "leaf").select("line", "leaf", "docs", "n"), "busy-lines")
     texts = occurrences(docs, id_col, text_col, keep_text=True).drop("leaf")
-    texts = texts.join(busy, "line").groupBy("line").agg(*[F.first(c).alias(c) for c in ("text", "leaf", "docs", "n")])
+    # only lines that a busy leaf may hold leave their task, each once
+    texts = texts.where(held(texts, hashed_field(busy, F.col("line")), F.col("line"))).groupBy("line").agg(F.first("text").alias("text"))
+    texts = texts.join(busy, "line")
     first = written(parsed(texts, F.when(F.col("n") > CELL, F.pmod("line", F.ceil(F.col("n") / CELL))).otherwise(0)), "cell-templates")
     begun = first.where("text is not null").select("line", "leaf", F.lit(0).alias("docs"), "text")
     second = written(parsed(begun, F.lit(0)), "leaf-templates")
@@ -154,9 +157,12 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                                  F.when(F.col("long"), min(PAIR, min_docs)).otherwise(min_docs).alias("least"))
     drops = repeats(hits).unionByName(repeats(alike))
     drops = written(drops.groupBy("_doc").agg(F.collect_set("at").alias("_places")), "dropped-places")
-    # the same join at every size: both sides are dealt out by document
-    joined = docs.withColumn("_doc", _row(id_col, text_col)).join(drops.hint("merge"), "_doc", "left").drop("_doc")
-    return edited(joined, text_col)
+    # documents that lose nothing stay where they are, the others meet their places
+    rows = docs.withColumn("_doc", _row(id_col, text_col))
+    rows = rows.withColumn("_some", held(rows, hashed_field(drops, F.col("_doc")), F.col("_doc")))
+    none = F.lit(None).cast(drops.schema["_places"].dataType).alias("_places")
+    some = rows.where("_some").join(drops.hint("merge"), "_doc", "left")
+    return edited(some.select(*docs.columns, "_places").unionByName(rows.where("not _some").select(*docs.columns, none)), text_col)
 
 
 def repeats(hits: DataFrame) -> DataFrame:

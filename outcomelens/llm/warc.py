@@ -1,10 +1,14 @@
 """WARC archives with revisit records: write, read back, resolve.
 
-Writing: each row's payload is digested where it lies. Only headers (id, digest, length) are shuffled by digest: the least id per digest of an
+Writing: each row's payload is digested where it lies. Only headers (id, digest, length, url) are shuffled by digest: the least id per digest of an
 eligible payload keeps its payload as a ``response`` record, the others become ``revisit`` records that name it. A digest
 that a third of all pages share is one row after the map-side minimum, and the join back to the headers is a plain sort-merge
 join whose large partitions Spark splits.
 
+Payloads stay where they lie: revisit records need none and are written from the headers. A bit field of the revisits' ids, of fixed size, tells which
+pages cannot be among them; these are written as they are read. What the field lets through in vain is known from the headers, and only these
+payloads are joined. (With very many revisits the field fills up and more payloads take that way; the archives are the same.)
+
 Records go out through Spark's text writer with the record separator as its line end, so any Hadoop file system will do and lost executors
 are replaced by Spark's commit protocol. Archives are uncompressed, hold at most ``RECORDS_PER_FILE`` records and about a
 partition's bytes; a record is a row.
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from .arrow import map_rows
+from .components import written
+from .fields import BITS, hashed_field, held
 
 # Fixed values of the format.
 VERSION, SEPARATOR = "WARC/1.1", "\r\n\r\n"
@@ -43,41 +49,55 @@ def record_id(column: str) -> Column:
     return F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(F.col(column).cast("string"), F.lit("null")), F.lit(">"))
 
 
-def headers(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """``_id``, ``_digest``, ``_bytes``, ``_kind`` and ``_original`` of every row; payloads stay behind."""
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("_id"), F.sha2(payload, 256).alias("_digest"),
-                        F.octet_length(payload).cast("long").alias("_bytes"))
-    large = rows.where(F.col("_bytes") >= min_bytes)
+def headers(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
+    """``_id``, ``_url``, ``_digest``, ``_bytes``, ``_revisit`` and ``_original`` of every row; payloads stay behind."""
+    rows = digested(pages, id_col, url_col, payload_col).select("_id", "_url", "_digest", F.octet_length("_payload").cast("long").alias("_bytes"))
+    large = F.col("_bytes") >= min_bytes
     # min() leaves nulls out: a null id counts as the least one, by a marker
-    least = large.groupBy("_digest").agg(F.min(F.struct("_id")).alias("_least"), F.count(F.lit(1)).alias("_n"))
-    return rows.join(least.where("_n > 1").drop("_n"), "_digest", "left")
+    least = rows.where(large).groupBy("_digest").agg(F.min(F.struct("_id")).alias("_least"), F.count(F.lit(1)).alias("_n"))
+    joined = rows.join(least.where("_n > 1").drop("_n"), "_digest", "left")
+    revisit = large & F.col("_least").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_least._id"))
+    return joined.select("_id", "_url", "_digest", "_bytes", revisit.alias("_revisit"), F.when(revisit, F.col("_least._id")).alias("_original"))
 
 
-def render(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int, date: str) -> DataFrame:
-    """One text per row of ``pages``: its record without the separator that ends it."""
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    repeated = headers(pages, id_col, payload_col, min_bytes).where(
-        F.col("_least").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_least._id")) & (F.col("_bytes") >= min_bytes))
-    original = repeated.groupBy("_id", "_digest").agg(F.first("_least._id").alias("_original"))  # a row per repeated id
+def digested(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """``_id``, ``_url``, ``_payload``, ``_digest`` of every row."""
     url = F.replace(F.replace(F.col(url_col).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select(F.col(id_col).alias("_id"), url.alias("_url"), payload.alias("_payload")).withColumn(
-        "_digest", F.sha2("_payload", 256)).alias("p")
-    same = F.col("p._id").eqNullSafe(F.col("o._id")) & (F.col("p._digest") == F.col("o._digest"))
-    rows = rows.join(original.withColumn("_revisit", F.lit(True)).alias("o"), same, "left").select(
-        "p.*", "_original", F.coalesce("_revisit", F.lit(False)).alias("_revisit"))
+    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
+    return pages.select(F.col(id_col).alias("_id"), url.alias("_url"), payload.alias("_payload")).withColumn("_digest", F.sha2("_payload", 256))
+
+
+def rendered(rows: DataFrame, revisits: bool, date: str) -> DataFrame:
+    """One text per row: its record without the separator that ends it."""
     lines = [
-        F.concat(F.lit(f"{VERSION}\r\nWARC-Type: "), F.when(F.col("_revisit"), "revisit").otherwise("response")),
+        F.lit(f"{VERSION}\r\nWARC-Type: {'revisit' if revisits else 'response'}"),
         F.concat(F.lit("WARC-Record-ID: "), record_id("_id")), F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.nullif(F.col("_url"), F.lit(""))),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("_digest")),
-        F.when(F.col("_revisit"), F.concat(F.lit("WARC-Refers-To: "), record_id("_original"))),
-        F.when(F.col("_revisit"), F.lit(f"WARC-Profile: {PROFILE}")),
+        *([F.concat(F.lit("WARC-Refers-To: "), record_id("_original")), F.lit(f"WARC-Profile: {PROFILE}")] if revisits else []),
         F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.when(F.col("_revisit"), 0).otherwise(F.octet_length("_payload")).cast("string")),
+        F.concat(F.lit("Content-Length: "), F.lit("0") if revisits else F.octet_length("_payload").cast("string")),
     ]
     head = F.concat_ws("\r\n", *lines)  # leaves null lines out
-    return rows.select(F.concat(head, F.lit(SEPARATOR), F.when(F.col("_revisit"), "").otherwise(F.col("_payload"))).alias("value"))
+    return rows.select(F.concat(head, F.lit(SEPARATOR), *([] if revisits else [F.col("_payload")])).alias("value"))
+
+
+def render(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int, date: str, bits: int = BITS) -> DataFrame:
+    """One text per row of ``pages``: its record without the separator that ends it."""
+    name = F.xxhash64("_id")
+    heads = written(headers(pages, id_col, url_col, payload_col, min_bytes), "warc-headers")
+    revisits = heads.where("_revisit")
+    field = hashed_field(revisits, name, bits)
+    rows = digested(pages, id_col, url_col, payload_col)
+    straight = rows.where(~held(rows, field, name))
+    texts = rendered(straight, False, date).unionByName(rendered(revisits, True, date))
+    # let through in vain: responses whose bit is set by another id, or that share their id with a revisit
+    vain = written(heads.where(~F.col("_revisit") & held(heads, field, name)).select("_id", "_digest").distinct(), "warc-vain")
+    if vain.isEmpty():
+        return texts
+    some = rows.where(held(rows, hashed_field(vain, name, bits), name))
+    same = some["_id"].eqNullSafe(vain["_id"]) & (some["_digest"] == vain["_digest"])
+    return texts.unionByName(rendered(some.join(vain, same, "left_semi"), False, date))
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
