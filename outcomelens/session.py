@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -47,9 +48,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; what is there is removed when the process ends, or by ``drop_scratch``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(drop_scratch)
+    _made.append((spark, path))
+    return path
+
+
+def drop_scratch() -> None:
+    """Remove what this process wrote to scratch paths; frames that read it are of no use afterwards."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the cluster is gone already: the folder's owner cleans it
+            continue
 
 
 def settle(df: DataFrame) -> DataFrame:

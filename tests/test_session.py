@@ -1,3 +1,4 @@
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -34,3 +35,17 @@ def test_settle_cuts_the_plan(spark):
     settled = settle(spark.range(10).repartition(3).selectExpr("id * 2 AS x"))
     plan = settled._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and sorted(r["x"] for r in settled.collect()) == list(range(0, 20, 2))
+
+
+def test_scratch_data_is_removed(spark, tmp_path):
+    from outcomelens import session
+
+    kept, session._made[:] = session._made[:], []
+    try:
+        path = scratch_path(spark, "short-lived")
+        spark.range(5).write.parquet(path)
+        assert spark.read.parquet(path).count() == 5
+        session.drop_scratch()
+        assert not session._made and not os.path.exists(path.removeprefix("file:"))
+    finally:
+        session._made[:] = kept
