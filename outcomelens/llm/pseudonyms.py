@@ -34,7 +34,7 @@ ROUNDS = 8
 # Notations of the kinds, in the order in which they are tried.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "credential": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?:password|passwd|token|secret|api_?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_-]{8,512}",
+    "credential": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?i:password|passwd|token|secret|api_?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_-]{8,}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
@@ -137,22 +137,63 @@ def ip_pseudonym(found: Column, key: str) -> Column:
     return F.when(valid, F.concat_ws(".", *[y.cast("string") for h in ("a", "b") for y in (F.floor(new[h] / 256), new[h] % 256)]))
 
 
+def parts_around(found: Column, start: Column, end: Column) -> tuple[Column, Column, Column]:
+    """What stands before, from and after the places ``start`` to ``end`` (from 1, inclusive)."""
+    return F.substr(found, F.lit(1), start - 1), F.substr(found, start, end - start + 1), F.substr(found, end + 1)
+
+
+def group_ends(found: Column, separators: str) -> Column:
+    """Places where a group of characters ends."""
+    return F.filter(F.sequence(F.lit(1), F.length(found)), lambda p: (p == F.length(found)) | F.substr(found, p + 1, F.lit(1)).rlike(separators))
+
+
+def group_starts(found: Column, separators: str) -> Column:
+    return F.filter(F.sequence(F.lit(1), F.length(found)), lambda p: (p == 1) | F.substr(found, p - 1, F.lit(1)).rlike(separators))
+
+
+def is_card(text: Column) -> Column:
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    return F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0)
+
+
 def card_pseudonym(found: Column, key: str) -> Column:
-    digits = F.regexp_replace(found, "[^0-9]", "")
-    first, inner = F.substring(digits, 1, 1), F.substring(digits, F.lit(2), F.length(digits) - 2)
-    # the first digit (the kind of card) and the length select the permutation
-    new = F.concat(first, permuted_text(inner, F.repeat(F.lit("d"), F.length(inner)), key, "card"))
-    check = F.pmod(-luhn_sum(F.concat(new, F.lit("0"))), F.lit(10))
-    return F.when(luhn_sum(digits) % 10 == 0, placed_digits(found, F.concat(new, check.cast("string"))))
+    """The card in ``found``: all of it, else the first run of its groups that is one, the longest of those that begin there."""
+    runs = F.flatten(F.transform(group_starts(found, "[ -]"), lambda a: F.transform(
+        F.filter(group_ends(found, "[ -]"), lambda b: b - a >= 12), lambda b: F.struct(a.alias("a"), (-b).alias("b")))))
+    passing = F.filter(runs, lambda r: is_card(F.substr(found, r["a"], -r["b"] - r["a"] + 1)))
+    chosen = F.when(is_card(found), F.struct(F.lit(1).alias("a"), (-F.length(found)).alias("b"))).otherwise(F.array_min(passing))
+
+    def made(at: Column) -> Column:
+        before, card, after = parts_around(found, at["a"], -at["b"])
+        digits = F.regexp_replace(card, "[^0-9]", "")
+        first, inner = F.substring(digits, 1, 1), F.substring(digits, F.lit(2), F.length(digits) - 2)
+        # the first digit (the kind of card) and the length select the permutation
+        new = F.concat(first, permuted_text(inner, F.repeat(F.lit("d"), F.length(inner)), key, "card"))
+        check = F.pmod(-luhn_sum(F.concat(new, F.lit("0"))), F.lit(10))
+        return F.concat(before, placed_digits(card, F.concat(new, check.cast("string"))), after)
+
+    return F.get(F.transform(F.array(chosen), lambda at: F.when(at.isNotNull(), made(at))), F.lit(0))
+
+
+def is_iban(text: Column) -> Column:
+    plain = F.replace(text, F.lit(" "), F.lit(""))
+    return F.length(plain).between(15, 34) & (modulo_97(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))) == 1)
 
 
 def iban_pseudonym(found: Column, key: str) -> Column:
-    plain = F.replace(found, F.lit(" "), F.lit(""))
-    country, rest = F.substring(plain, 1, 2), F.substring(plain, 5, 64)
-    new = permuted_text(rest, classes_of(rest), key, "iban")
-    check = F.lpad((98 - modulo_97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = modulo_97(F.concat(rest, F.substring(plain, 1, 4))) == 1
-    return F.when(valid, placed_digits(found, F.concat(country, check, new)))
+    """The IBAN at the beginning of ``found``: the longest run of groups that is one."""
+    ends = F.filter(group_ends(found, " "), lambda b: is_iban(F.substr(found, F.lit(1), b)))
+    chosen = F.when(is_iban(found), F.length(found)).otherwise(F.array_max(ends))
+
+    def made(end: Column) -> Column:
+        _, iban, after = parts_around(found, F.lit(1), end)
+        plain = F.replace(iban, F.lit(" "), F.lit(""))
+        country, rest = F.substring(plain, 1, 2), F.substring(plain, 5, 64)
+        new = permuted_text(rest, classes_of(rest), key, "iban")
+        check = F.lpad((98 - modulo_97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(placed_digits(iban, F.concat(country, check, new)), after)
+
+    return F.get(F.transform(F.array(chosen), lambda end: F.when(end.isNotNull(), made(end))), F.lit(0))
 
 
 def phone_pseudonym(found: Column, key: str) -> Column:
@@ -185,7 +226,7 @@ def pseudonym(kind: str, found: Column, key: str) -> Column:
         return F.concat(permuted_text(local, classes_of(local), key, kind), F.substring(found, F.length(local) + 1, F.lit(2_147_483_647)))
     if kind == "credential":
         lead = F.regexp_extract(found, "^AKIA(?=[0-9A-Z]{16}$)", 0)
-        rest = F.substring(found, F.length(lead) + 1, F.lit(512))
+        rest = F.substring(found, F.length(lead) + 1, F.lit(2_147_483_647))
         classes = F.when(rest.rlike("^[0-9a-f]+$"), F.repeat(F.lit("h"), F.length(rest))).otherwise(classes_of(rest))
         return F.concat(lead, permuted_text(rest, classes, key, kind))
     return placed_digits(found, permuted_text(F.regexp_replace(found, "[^0-9]", ""), F.lit("d" * 9), key, kind))  # ssn
@@ -206,14 +247,22 @@ def pseudonymise(df: DataFrame, text_col: str, key: str) -> DataFrame:
     if not key:
         raise ValueError("a key is needed")
     text = F.col(text_col).cast("string")
-    found = df.withColumn("_found", F.regexp_extract_all(text, F.lit(ANY_KIND), F.lit(0)))
-    found = found.withColumn("_new", F.transform("_found", lambda m: replaced(m, key)))
-    new = F.zip_with("_found", "_new", lambda m, n: F.coalesce(n["text"], m))
+    at, made = _unused(df, "_found"), _unused(df, "_new")
+    found = df.withColumn(at, F.regexp_extract_all(text, F.lit(ANY_KIND), F.lit(0)))
+    found = found.withColumn(made, F.transform(at, lambda m: replaced(m, key)))
+    new = F.zip_with(at, made, lambda m, n: F.coalesce(n["text"], m))
     parts = F.zip_with(F.split(text, ANY_KIND, -1), new, lambda gap, n: F.concat(gap, F.coalesce(n, F.lit(""))))
+
     def count(kind: str) -> Column:
-        replaced_here = F.filter("_new", lambda n: (n["kind"] == kind) & n["text"].isNotNull())
+        replaced_here = F.filter(made, lambda n: (n["kind"] == kind) & n["text"].isNotNull())
         return F.when(text.isNull(), 0).otherwise(F.size(replaced_here)).cast("long").alias(f"pii_{kind}")
 
-    rewritten = F.when(F.size("_found") > 0, F.array_join(parts, "")).otherwise(text)
+    rewritten = F.when(F.size(at) > 0, F.array_join(parts, "")).otherwise(text)
     kept = [F.col(c) if c != text_col else rewritten.alias(text_col) for c in df.columns]
     return found.select(*kept, *map(count, KINDS))
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
