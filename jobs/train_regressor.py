@@ -3,8 +3,8 @@
 from common import arguments, save_report, start
 from pyspark.sql import functions as F
 
-from outcomelens.config import feature_types
 from outcomelens.operators import evaluation, modeling, scoring
+from outcomelens.operators.preparation import Preparer
 from outcomelens.operators.profiling import histogram
 from outcomelens.operators.splitting import stable_sample
 from outcomelens.plans.loans import APR_ERROR_BANDS, TARGET
@@ -14,17 +14,18 @@ def main():
     args = arguments(
         __doc__, "regression", "model", "reports", lr_iter=60, reg=0.01, trees=100, forest_depth=8, boost_iter=60,
         boost_depth=5, step=0.05, score_trees=80)
-    spark, _ = start(args, "train-regressor")
+    spark, preset = start(args, "train-regressor")
     train, test = (spark.read.parquet(f"{args.regression}/part={p}") for p in ("train", "test"))
-    types = feature_types(train, exclude={TARGET})
+    types = Preparer(preset.column_groups(), preset.date_parts, preset.day_spans).features(train)
+    spread = sorted(train.columns)  # rows are distinct: their layout, and so what a forest learns, does not hang on the files
     save_report(
         scoring.regression_scores(
-            train, types.numeric, types.categorical, TARGET, trees=args.score_trees).orderBy("rank"),
+            train, types.numeric, types.categorical, TARGET, trees=args.score_trees, spread_by=spread).orderBy("rank"),
         args.reports, "feature_scores")
     specs = modeling.regressor_specs(
         TARGET, lr_iter=args.lr_iter, reg=args.reg, trees=args.trees, forest_depth=args.forest_depth,
         boost_iter=args.boost_iter, boost_depth=args.boost_depth, step=args.step)
-    result = modeling.compare_regressors(train, test, types.numeric, types.categorical, TARGET, specs)
+    result = modeling.compare_regressors(train, test, types.numeric, types.categorical, TARGET, specs, spread_by=spread)
     result.save_best(args.model)
     predicted = result.best.transform(test).select(*test.columns, "prediction")
     with modeling.held(predicted) as (predicted,):

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ColumnGroups
+from ..config import ColumnGroups, FeatureTypes
 from ..functions.outcomes import outcome
 from ..functions.stats import missing
 from .ordering import exact_quantiles
@@ -95,6 +95,13 @@ class Preparer:
         wanted = [*self.groups.numeric, *derived, *([self.groups.target] if self.impute_target else [])]
         return [c for c in dict.fromkeys(wanted) if c in df.columns and (self.impute_target or c != self.groups.target)]
 
+    def features(self, df: DataFrame, more: Sequence[str] = ()) -> FeatureTypes:
+        """The columns of a prepared frame that the groups name as features, and ``more`` numeric ones; a column that no group names, such as an identifier,
+        is none."""
+        return FeatureTypes(
+            numeric=[*self._numeric(df), *[c for c in more if c in df.columns]],
+            categorical=[c for c in (*self.groups.categorical, *self.groups.boolean) if c in df.columns])
+
     def fit(self, df: DataFrame) -> Preparer:
         typed = self._typed(df)
         columns = self._numeric(typed)

@@ -186,3 +186,11 @@ def test_exact_split_orders_a_hot_label_in_many_tasks(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("label"), key_digest(["id"]).alias("d"))
     sizes = [r["count"] for r in in_ranges(df, ["label", "d"], 8).filter("label = 'hot'").groupBy("_range").count().collect()]
     assert len(sizes) >= 3 and max(sizes) < 4000
+
+
+def test_features_are_what_the_groups_name(spark):
+    df = spark.createDataFrame([("k1", 1.0, 2.0, "x", "y", 2010, 0.1, 7.0)],
+                               "loan_key string, term double, ratio double, income string, owner string, listed_year int, apr double, unknown double")
+    found = Preparer(GROUPS, {"listed": "listed"}, {}).features(df)
+    assert found.numeric == ["term", "ratio", "listed_year"] and found.categorical == ["income", "owner"]
+    assert Preparer(GROUPS, {"listed": "listed"}, {}).features(df, more=["apr", "absent"]).numeric == ["term", "ratio", "listed_year", "apr"]
