@@ -79,7 +79,10 @@ def mixed_json(t: Tables) -> DataFrame:
     amount = F.when(line == 2, F.col("l_quantity").cast("int").cast("string")).otherwise(
         F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".5")))
     whole = F.concat(F.lit('{"key":'), key, F.lit(',"part":'), part, F.lit(',"amount":'), amount, F.lit("}"))
-    return t.lineitem.select(F.when(line == 7, '{"key":1,').otherwise(whole).alias("value"))
+    columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    # a text costs far more to parse than its record to move, and the table may be one file
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return t.lineitem.select(columns).repartition(tasks, "l_orderkey", "l_linenumber").select(F.when(line == 7, '{"key":1,').otherwise(whole).alias("value"))
 
 
 def _paths_sql(*cells: tuple[str, str, str]) -> str:

@@ -14,8 +14,8 @@ PLACE = "struct<path:string,parent:string,name:string,value:variant>"
 
 
 def _kind(value: Column) -> Column:
-    """Type of a variant without its parameters and fields."""
-    kind = F.regexp_extract(F.schema_of_variant(value), r"^[A-Z_]+", 0)
+    """Type of a single value without its parameters."""
+    kind = F.substring_index(F.schema_of_variant(value), "(", 1)
     return F.when(kind == "VOID", EMPTY).otherwise(kind)
 
 
@@ -23,15 +23,26 @@ def _place(path: Column, parent: Column, name: Column, value: Column) -> Column:
     return F.struct(path.alias("path"), parent.alias("parent"), name.alias("name"), value.alias("value"))
 
 
+def _opened(place: Column) -> Column:
+    """A place with its fields if it is an object, its elements if it is an array."""
+    return F.struct(
+        place["path"].alias("path"), place["parent"].alias("parent"), place["name"].alias("name"), place["value"].alias("value"),
+        F.try_variant_get(place["value"], "$", "map<string,variant>").alias("fields"),
+        F.try_variant_get(place["value"], "$", "array<variant>").alias("elements"))
+
+
 def _inside(place: Column) -> Column:
-    """Places of the fields of an object or the elements of an array; none in any other value."""
-    path, value = place["path"], place["value"]
-    fields = F.transform(
-        F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
-        lambda e: _place(F.concat(path, F.lit("."), e["key"]), path, e["key"], e["value"]))
-    elements = F.transform(
-        F.try_variant_get(value, "$", "array<variant>"), lambda v: _place(F.concat(path, F.lit(ELEMENT)), path, F.lit(ELEMENT), v))
-    return F.coalesce(F.when(_kind(value) == "OBJECT", fields), F.when(_kind(value) == "ARRAY", elements), F.array().cast(f"array<{PLACE}>"))
+    """Places of the fields or elements of an opened place; none in any other value."""
+    path = place["path"]
+    fields = F.transform(F.map_entries(place["fields"]), lambda e: _place(F.concat(path, F.lit("."), e["key"]), path, e["key"], e["value"]))
+    elements = F.transform(place["elements"], lambda v: _place(F.concat(path, F.lit(ELEMENT)), path, F.lit(ELEMENT), v))
+    return F.coalesce(fields, elements, F.array().cast(f"array<{PLACE}>"))
+
+
+def _typed(place: Column) -> Column:
+    kind = F.when(place["fields"].isNotNull(), "OBJECT").when(place["elements"].isNotNull(), "ARRAY").otherwise(
+        F.coalesce(_kind(place["value"]), F.lit(EMPTY)))
+    return F.struct(place["path"].alias("path"), place["parent"].alias("parent"), place["name"].alias("name"), kind.alias("type"))
 
 
 def json_paths(df: DataFrame, column: str, depth: int = 5) -> DataFrame:
@@ -43,17 +54,15 @@ def json_paths(df: DataFrame, column: str, depth: int = 5) -> DataFrame:
     """
     variant = F.try_parse_json(F.col(column))
     rows = df.where(F.col(column).isNotNull()).select(
-        F.array(_place(F.lit(ROOT), F.lit(""), F.lit(ROOT), variant)).alias("level_0"), variant.isNull().alias("unreadable"))
-    for i in range(depth):
-        rows = rows.withColumn(f"level_{i + 1}", F.flatten(F.transform(f"level_{i}", _inside)))
-
-    def typed(place: Column, kind: Column) -> Column:
-        return F.struct(place["path"].alias("path"), place["parent"].alias("parent"), place["name"].alias("name"), kind.alias("type"))
-
-    held = F.flatten(F.array(*[
-        F.transform(f"level_{i}", lambda p: typed(p, F.coalesce(_kind(p["value"]), F.lit(EMPTY)))) for i in range(depth + 1)]))
-    unreadable = F.transform("level_0", lambda p: typed(p, F.lit(UNREADABLE)))
-    seen = F.when(F.col("unreadable"), unreadable).otherwise(F.array_distinct(held))
+        F.array(_place(F.lit(ROOT), F.lit(""), F.lit(ROOT), variant)).alias("level_0"))
+    for i in range(depth + 1):
+        rows = rows.withColumn(f"opened_{i}", F.transform(f"level_{i}", _opened))
+        if i < depth:
+            rows = rows.withColumn(f"level_{i + 1}", F.flatten(F.transform(f"opened_{i}", _inside)))
+    held = F.flatten(F.array(*[F.transform(f"opened_{i}", _typed) for i in range(depth + 1)]))
+    unreadable = F.transform("level_0", lambda p: F.struct(
+        p["path"].alias("path"), p["parent"].alias("parent"), p["name"].alias("name"), F.lit(UNREADABLE).alias("type")))
+    seen = F.when(F.col("level_0")[0]["value"].isNull(), unreadable).otherwise(F.array_distinct(held))
     return rows.select(F.inline(seen)).groupBy("path", "parent", "name", "type").agg(F.count("*").alias("n"))
 
 
