@@ -157,12 +157,14 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                                  F.when(F.col("long"), min(PAIR, min_docs)).otherwise(min_docs).alias("least"))
     drops = repeats(hits).unionByName(repeats(alike))
     drops = written(drops.groupBy("_doc").agg(F.collect_set("at").alias("_places")), "dropped-places")
-    # documents that lose nothing stay where they are, the others meet their places
+    # documents that lose nothing stay where they are, the others meet their places; no task holds two kinds of Python workers
     rows = docs.withColumn("_doc", _row(id_col, text_col))
-    rows = rows.withColumn("_some", held(rows, hashed_field(drops, F.col("_doc")), F.col("_doc")))
-    none = F.lit(None).cast(drops.schema["_places"].dataType).alias("_places")
-    some = rows.where("_some").join(drops.hint("merge"), "_doc", "left")
-    return edited(some.select(*docs.columns, "_places").unionByName(rows.where("not _some").select(*docs.columns, none)), text_col)
+    may_lose = held(rows, hashed_field(drops, F.col("_doc")), F.col("_doc"))
+    text = F.col(text_col).cast("string")
+    lines = F.when(text != "", F.size(F.split(text, "\n", -1))).otherwise(0).cast("long")
+    same = rows.where(~may_lose).select(*docs.columns, lines.alias("_lines"), F.lit(0).cast("long").alias("_dropped"))
+    some = rows.where(may_lose).join(drops.hint("merge"), "_doc", "left").select(*docs.columns, "_places")
+    return edited(some, text_col).unionByName(same)
 
 
 def repeats(hits: DataFrame) -> DataFrame:
