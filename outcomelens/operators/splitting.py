@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import sized
 from .ordering import running_before
 
 
@@ -52,32 +55,51 @@ def quota_bounds(rows: Column, shares: dict[str, int]) -> dict[str, Column]:
     return bounds
 
 
+#: Leading hex digits of a digest: its bucket when cuts are sought, and its slot when rows meet the cuts.
+BUCKET_DIGITS, SLOT_DIGITS = 3, 2
+
+
+def label_and_digest(df: DataFrame, keys: Sequence[str], label: str, salt: str = "") -> DataFrame:
+    return df.withColumns({"_label": F.to_json(F.struct(F.col(label).alias("l"))), "_digest": key_digest(keys, salt)})
+
+
 def split_cuts(df: DataFrame, keys: Sequence[str], label: str, shares: dict[str, int], salt: str = "") -> DataFrame:
     """(_label, _cuts): per label the digests at which a part ends, in the order of ``shares``; null where the last key is in that part.
 
-    Only one row per key, of label and digest, is ordered. ``running_before`` deals the digests of a label out to many tasks.
+    Rows are counted per label and leading digits of the digest, merged inside the tasks. Only the digests of a bucket in which a part ends are
+    put in order, at most one bucket per label and end; elsewhere the first digest of a bucket is all a cut can be.
     """
-    digests = df.groupBy(F.to_json(F.struct(F.col(label).alias("l"))).alias("_label"), key_digest(keys, salt).alias("_digest")).agg(
-        F.count("*").alias("_n"))
-    placed = running_before(digests, [F.col("_digest")], {"_before": "_n"}, by=["_label"], totals={"_rows": "_n"})
+    rows = label_and_digest(df, keys, label, salt).select("_label", "_digest")
+    rows = rows.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
+    buckets = rows.groupBy("_label", "_bucket").agg(F.count("*").alias("_n"), F.min("_digest").alias("_digest"))
+    placed = running_before(buckets, [F.col("_bucket")], {"_before": "_n"}, by=["_label"], totals={"_rows": "_n"})
     ends = list(quota_bounds(F.col("_rows"), shares).values())[:-1]
-    return placed.groupBy("_label").agg(F.array(*[F.min(F.when(F.col("_before") >= end, F.col("_digest"))) for end in ends]).alias("_cuts"))
+    inside = [(F.col("_before") < end) & (end < F.col("_before") + F.col("_n")) for end in ends]
+    split = placed.where(reduce(or_, inside, F.lit(False))).select("_label", "_bucket", F.col("_before").alias("_start"), "_rows")
+    split = rows.join(sized(split, "split-buckets"), ["_label", "_bucket"])
+    split = split.groupBy("_label", "_bucket", "_digest", "_start", "_rows").agg(F.count("*").alias("_n"))
+    split = running_before(split, [F.col("_digest")], {"_before": "_n"}, by=["_label", "_bucket"])
+    points = placed.select("_label", "_rows", "_before", "_digest").unionByName(
+        split.select("_label", "_rows", (F.col("_start") + F.col("_before")).alias("_before"), "_digest"))
+    return points.groupBy("_label").agg(F.array(*[F.min(F.when(F.col("_before") >= end, F.col("_digest"))) for end in ends]).alias("_cuts"))
 
 
 def exact_split(df: DataFrame, keys: Sequence[str], label: str, shares: dict[str, int], salt: str = "", name: str = "part") -> DataFrame:
     """``df`` with the part of each row: of each label exactly its quota of rows goes to each part.
 
     Rows are taken in the order of their key digest, so the split is repeatable in any layout. Rows with one key stay together, which is all that
-    can keep a part from its quota. A null label is a label. Whole rows are not shuffled: they meet one row of cuts per label.
+    can keep a part from its quota. A null label is a label. The cuts are written first, so the planner knows how few they are and sends them to
+    the rows; were there too many labels for that, rows of a label would meet them in as many places as there are slots.
     """
-    cuts = split_cuts(df, keys, label, shares, salt)
+    slots = [F.lit(f"{i:0{SLOT_DIGITS}x}") for i in range(16 ** SLOT_DIGITS)]
+    cuts = sized(split_cuts(df, keys, label, shares, salt), "cuts").withColumn("_slot", F.explode(F.array(*slots)))
     names = list(shares)
-    tagged = df.withColumns({"_mine": F.to_json(F.struct(F.col(label).alias("l"))), "_at": key_digest(keys, salt)})
+    tagged = label_and_digest(df, keys, label, salt).withColumn("_slot", F.substring("_digest", 1, SLOT_DIGITS))
     part = F.lit(names[-1])
     for i in range(len(names) - 2, -1, -1):
         cut = F.get("_cuts", F.lit(i))
-        part = F.when(cut.isNull() | (F.col("_at") < cut), names[i]).otherwise(part)
-    return tagged.join(cuts, F.col("_mine") == F.col("_label")).select(*df.columns, part.alias(name))
+        part = F.when(cut.isNull() | (F.col("_digest") < cut), names[i]).otherwise(part)
+    return tagged.join(cuts, ["_label", "_slot"]).select(*df.columns, part.alias(name))
 
 
 @dataclass(frozen=True)

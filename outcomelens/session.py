@@ -77,3 +77,10 @@ def settle(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written under the shared folder and read again: the planner then knows its size, also where that follows from an aggregate."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -188,6 +189,32 @@ def test_exact_split_orders_a_hot_label_in_many_tasks(spark):
     assert len(sizes) >= 3 and max(sizes) < 4000
 
 
+def test_exact_split_puts_only_buckets_with_an_end_in_order(spark, monkeypatch):
+    from outcomelens.operators import ordering, splitting
+    ordered = []
+
+    def counting(df, *args, **kwargs):
+        ordered.append(df.count())
+        return ordering.running_before(df, *args, **kwargs)
+
+    monkeypatch.setattr(splitting, "running_before", counting)
+    df = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") % 2).cast("string").alias("label"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        split = exact_split(df, ["k"], "label", {"a": 7, "b": 2, "c": 1}, salt="s")
+        assert "SortMergeJoin" not in split._jdf.queryExecution().executedPlan().toString()  # whole rows stay where they are
+        found = {r["k"]: r["part"] for r in split.collect()}
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert {r["k"]: r["part"] for r in exact_split(df, ["k"], "label", {"a": 7, "b": 2, "c": 1}, salt="s").collect()} == found
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert max(ordered) <= 2 * 16 ** splitting.BUCKET_DIGITS  # before: all 40,000 digests
+    for label in (0, 1):
+        keys = sorted(range(label, 40_000, 2), key=lambda k: hashlib.md5(f"s-{k}".encode()).hexdigest())
+        assert [found[k] for k in keys] == ["a"] * 14_000 + ["b"] * 4_000 + ["c"] * 2_000
+
+
 def test_features_are_what_the_groups_name(spark):
     df = spark.createDataFrame([("k1", 1.0, 2.0, "x", "y", 2010, 0.1, 7.0)],
                                "loan_key string, term double, ratio double, income string, owner string, listed_year int, apr double, unknown double")
