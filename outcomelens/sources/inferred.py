@@ -1,4 +1,4 @@
-"""What JSON texts hold, path by path: types seen, rows, one common type, conflicts. One pass, merged by aggregation."""
+"""What JSON texts hold, path by path: types seen, rows, one common type, conflicts. One pass, merged by shape, then by path."""
 
 from __future__ import annotations
 
@@ -45,16 +45,49 @@ def _typed(place: Column) -> Column:
     return F.struct(place["path"].alias("path"), place["parent"].alias("parent"), place["name"].alias("name"), kind.alias("type"))
 
 
+#: A key with its colon, or all from a quote on that no other closes (kept); a text without control characters (its last quote is kept); a number of up to
+#: 18 digits before and behind its point (the point is kept). What is kept is found after all else: Java keeps it also from a try that failed.
+TOKEN = (r'("[^"\x00-\x1f]*+"[ \t\r\n]*+:|"(?![^"\x00-\x1f]*+")[\s\S]++)|"[^"\x00-\x1f]*+(")|'
+         r"(?<![0-9.eE+-])-?(?:0|[1-9][0-9]{0,17}+)(?:(?![0-9.eE+-])|(?=\.[0-9]{1,18}+(?![0-9.eE+-]))(\.)[0-9]++)")
+#: Stands behind what is left of a token; no readable text holds it. Longer texts are parsed first: a parser may find them too long.
+MARK, LONG, NO_JSON = "\x01", 1 << 20, "{"
+
+
+def json_shape(text: Column) -> Column:
+    """A text in which every value is replaced by one of its type, so that records differing in values alone share it: same paths, same types, and
+    unreadable if ``text`` is. Numbers of unusual size, which may have another type, stay; so does what is no JSON.
+
+    It is not JSON itself but has marks, which ``shape_text`` resolves.
+    """
+    plain = ~F.contains(text, F.lit("\\")) & ~F.contains(text, F.lit(MARK)) & (F.octet_length(text) <= LONG)
+    # escaped quotes as code points: then every quote begins or ends a text. Which escapes are allowed is left to the parser
+    quotes = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    safe = F.when(plain, text).when(F.try_parse_json(text).isNotNull(), quotes).otherwise(NO_JSON)
+    return F.regexp_replace(safe, TOKEN, f"$1$2$3{MARK}")
+
+
+def shape_text(shape: Column) -> Column:
+    for left, value in ((f'"{MARK}', '""'), (f".{MARK}", "0.5"), (f":{MARK}", ":"), (MARK, "0")):
+        shape = F.replace(shape, F.lit(left), F.lit(value))
+    return shape
+
+
 def json_paths(df: DataFrame, column: str, depth: int = 5) -> DataFrame:
     """(path, parent, name, type, n): rows of JSON text in which a path holds a value of a type; ``$`` is the whole text, ``$.a[].b`` a field of the objects in
     an array. ``parent`` and ``name`` tell a field ``a.b`` from the field ``b`` in ``a``.
 
     Unreadable texts count under the type ``UNREADABLE`` of ``$``, null texts not at all. A path counts once per row and type. Below ``depth`` levels an
-    object or array is only named as such. Rows are merged inside the tasks, so what is shuffled are distinct (path, type).
+    object or array is only named as such. Rows are merged inside the tasks to distinct shapes, and only a shape is walked; were no two rows of one shape,
+    each would be.
     """
+    shapes = df.where(F.col(column).isNotNull()).groupBy(json_shape(F.col(column)).alias("_shape")).agg(F.count("*").alias("_n"))
+    return walked(shapes.select(shape_text(F.col("_shape")).alias("_text"), "_n"), "_text", "_n", depth)
+
+
+def walked(texts: DataFrame, column: str, rows_each: str, depth: int) -> DataFrame:
+    """``json_paths`` of texts that stand for ``rows_each`` rows each."""
     variant = F.try_parse_json(F.col(column))
-    rows = df.where(F.col(column).isNotNull()).select(
-        F.array(_place(F.lit(ROOT), F.lit(""), F.lit(ROOT), variant)).alias("level_0"))
+    rows = texts.select(rows_each, F.array(_place(F.lit(ROOT), F.lit(""), F.lit(ROOT), variant)).alias("level_0"))
     for i in range(depth + 1):
         rows = rows.withColumn(f"opened_{i}", F.transform(f"level_{i}", _opened))
         if i < depth:
@@ -63,7 +96,7 @@ def json_paths(df: DataFrame, column: str, depth: int = 5) -> DataFrame:
     unreadable = F.transform("level_0", lambda p: F.struct(
         p["path"].alias("path"), p["parent"].alias("parent"), p["name"].alias("name"), F.lit(UNREADABLE).alias("type")))
     seen = F.when(F.col("level_0")[0]["value"].isNull(), unreadable).otherwise(F.array_distinct(held))
-    return rows.select(F.inline(seen)).groupBy("path", "parent", "name", "type").agg(F.count("*").alias("n"))
+    return rows.select(rows_each, F.inline(seen)).groupBy("path", "parent", "name", "type").agg(F.sum(rows_each).alias("n"))
 
 
 def json_conflicts(paths: DataFrame) -> DataFrame:

@@ -92,3 +92,31 @@ def test_a_name_with_a_dot_is_not_a_path(spark, rows):
     found = json_conflicts(json_paths(df, "j"))
     assert rows(found.filter("path = '$.a.b'"), "parent", "name", "merged") == [("$", "a.b", "BIGINT"), ("$.a", "b", "STRING")]
     assert json_conflicts(json_paths(df.limit(0), "j")).count() == 0 and json_schema(found.limit(0)) == T.StructType([])
+
+
+ODD = ['{"a":1}', '{"a": -7 }', '{"a":12345678901234567890}', '{"a":1.5}', '{"a":100.0}', '{"a":1e5}', '{"a":0.1234567890123456789}', '{"a":01}', '{"a":1.}',
+       '{"a":"x,y:"}', '{"a":"q\\"1\\\\"}', '{"q\\"1":"\\n"}', '{"a":"\\x"}', '{"a":"t\tb"}', '["a,",":",1,2.5,null,true,[],{}]', '[]', '[5]', '"1', '["a","', '"',
+       '"a"', '5', '\x01', '[\x01]', '{"a":1,"a":2}', '{"a.b":{"c":[{"d":[1,"x"]}]}}', '[1.5e400,"s"]', '{"a" \n:\t[ 1 , "2" ]}', '', ' ']
+
+
+def test_a_shape_has_the_paths_of_its_texts(spark):
+    from outcomelens.sources.inferred import json_shape, shape_text, walked
+    df = spark.createDataFrame([(t,) for t in ODD], "value string")
+    # a bit per text: a sum tells which ones it is of, so two wrong ones cannot make up for each other
+    bits = df.select("value", F.expr("shiftleft(1L, cast(row_number() over (order by value) as int))").alias("n"))
+    whole = walked(bits, "value", "n", 5)
+    shapes = walked(bits.select(shape_text(json_shape(F.col("value"))).alias("value"), "n"), "value", "n", 5)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, shapes.collect()))
+    counted = walked(df.withColumn("n", F.lit(1)), "value", "n", 5)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, json_paths(df, "value").collect()))
+
+
+def test_records_of_one_shape_are_walked_once(spark, monkeypatch):
+    from outcomelens.sources import inferred
+    seen = []
+    walked = inferred.walked
+    monkeypatch.setattr(inferred, "walked", lambda texts, *rest: (seen.append(texts.count()), walked(texts, *rest))[1])
+    df = spark.range(5000).select(F.concat(F.lit('{"k":'), "id", F.lit(',"v":["n'), "id", F.lit('",'), "id", F.lit(".5]}")).alias("value"))
+    found = {r["path"] + " " + r["type"]: r["n"] for r in inferred.json_paths(df, "value").collect()}
+    assert seen == [1]  # before: all 5000
+    assert found == dict.fromkeys(["$ OBJECT", "$.k BIGINT", "$.v ARRAY", "$.v[] STRING", "$.v[] DECIMAL"], 5000)
