@@ -13,8 +13,9 @@ Two texts link when ``100 * |A and B| >= 80 * |A or B|`` for their sets of disti
 3. *Pivots.* Under each key, every set is paired with the first one. Pairs whose bound is high enough are verified on the full sets, and
    links joined to components. Large groups of near copies are connected here, with a linear number of pairs.
 4. *R-trees.* Sets that share a key share its pivot. Pivots whose sets are not yet one component get an R-tree over their points per size
-   class; each point asks it for all others of another component that may overlap enough. Only those pairs are verified. Groups
-   of more than ``CELL`` sets are split into cells, pairs of parts of bounded size. Pairs inside one component are not needed: no link can add to it.
+   class; each point asks it for all others of another component that may overlap enough. Sets with such a pair get their full sets beside them
+   and are compared where they are; a link joins two components, whose further pairs are not needed: no link can add to them. Groups
+   of more than ``CELL`` sets or ``CELL_SHINGLES`` shingles are split into cells, pairs of parts of bounded size.
 
 Equal sets are one set from the start. Texts are read twice: for the keys, and, of sets in a pair to verify, for the sets. No pair is dropped.
 
@@ -26,7 +27,7 @@ null id yields to any other as a component's least id; rows of one id, repeated
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ from .components import components, written
 WORDS = 5
 PERCENT = 80
 CELL = 2048
+CELL_SHINGLES = 1 << 21
 FANOUT = 16
 PIVOT_ROWS = 2000
 
@@ -250,6 +252,27 @@ def shared_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys, names, pivots)], names=SHARED)
 
 
+def contents(wanted: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(name, content) of the sets named in ``wanted``: their sorted shingles, from one text of each."""
+    ids = sets.join(wanted, "name", "left_semi").select(F.col("id").alias("_id")).distinct()
+    texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+
+    def full(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for _, text in rows:
+            found = shingles(text)
+            yield name_of(found), found.tobytes()
+
+    fields = [StructField("name", LongType()), StructField("content", BinaryType())]
+    content = map_rows(keyed_text(texts, id_col, text_col), fields, full, lambda row: len(row[1]))
+    return written(content.groupBy("name").agg(F.first("content").alias("content")), "sets")
+
+
+def overlap(mine: np.ndarray, other: np.ndarray) -> int:
+    at = np.searchsorted(mine, other)
+    at[at == len(mine)] = 0
+    return int((mine[at] == other).sum())
+
+
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links ``a``, ``b`` among candidate ``pairs`` (a, b): distinct pairs whose bound suffices, compared on the full sets.
 
@@ -269,17 +292,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, te
     pairs = written(map_rows(pairs.select("a", "b", "na", "nb", "pa", "pb"), ends, bounded), "pairs")
 
     wanted = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    ids = sets.join(wanted, "name", "left_semi").select(F.col("id").alias("_id")).distinct()
-    texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-
-    def full(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for _, text in rows:
-            found = shingles(text)
-            yield name_of(found), found.tobytes()
-
-    fields = [StructField("name", LongType()), StructField("content", BinaryType())]
-    content = map_rows(keyed_text(texts, id_col, text_col), fields, full, lambda row: len(row[1]))
-    content = written(content.groupBy("name").agg(F.first("content").alias("content")), "sets")
+    content = contents(wanted, sets, docs, id_col, text_col)
 
     spread = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("places"))
     firsts = spread.join(content, spread.a == content.name).select(
@@ -295,51 +308,84 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, te
             if b is None:
                 mine = found
             else:
-                at = np.searchsorted(mine, found)
-                at[at == len(mine)] = 0
-                common = int((mine[at] == found).sum())
-                if common >= needed(len(mine), len(found)):
+                if overlap(mine, found) >= needed(len(mine), len(found)):
                     yield a, b
 
     return map_rows(laid, ends, compared)
 
 
-def remaining(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and whose bound suffices, found by R-trees in cells.
+CELL_KEY = ["pivot", "i", "j"]
+
+
+def remaining(shared: DataFrame, roots: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between different components among sets that share a key, as far as they are needed to join these: found by R-trees in cells.
 
-    Sets that share a key share its pivot: a pivot's sets are one group, whatever keys they share with it.
+    Sets that share a key share its pivot: a pivot's sets are one group, whatever keys they share with it. A first search tells which sets may link at all;
+    only their full sets are sent to the cells, where they are compared. No pair leaves a cell but the links that join something there, fewer than its sets.
     """
     rows = shared.select("pivot", "name").unionByName(shared.select("pivot", F.col("pivot").alias("name"))).distinct()
     rows = rows.join(roots.toDF("name", "root"), "name", "left").select("pivot", "name", F.coalesce("root", "name").alias("root"))
-    open_ = rows.groupBy("pivot").agg(F.min("root").alias("_r0"), F.max("root").alias("_r1"), F.count(F.lit(1)).alias("_rows"))
-    open_ = open_.where("_r0 <> _r1").select("pivot", F.ceil(F.col("_rows") / CELL).cast("int").alias("parts"))
+    rows = rows.join(sets.select("name", "n", "point"), "name")
+    open_ = rows.groupBy("pivot").agg(
+        F.min("root").alias("_r0"), F.max("root").alias("_r1"), F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_shingles"))
+    parts = F.ceil(F.greatest(F.col("_rows") / CELL, F.col("_shingles") / CELL_SHINGLES)).cast("int")
+    open_ = open_.where("_r0 <> _r1").select("pivot", parts.alias("parts"))
     rows = rows.join(open_, "pivot").withColumn("part", F.pmod(F.hash("name"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = rows.select("pivot", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "name", "root")
-    cells = cells.join(sets.select("name", "n", "point"), "name").repartition("pivot", "i", "j").sortWithinPartitions(
-        "pivot", "i", "j", "n", "name")
+    cells = rows.select("pivot", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "name", "root", "n", "point")
 
-    def run(found: Iterable[tuple]) -> Iterator[tuple]:
+    def may_link(cell: tuple, held: list) -> Iterator[tuple]:
+        for x in sorted({x for pair in in_cell(held, cell) for x in pair}):
+            yield (*cell, *held[x])
+
+    def joined(cell: tuple, held: list) -> Iterator[tuple]:
+        found = [np.frombuffer(entry[5], np.uint64) for entry in held]
+        root = dict.fromkeys((entry[2] for entry in held))
+        root = dict(zip(root, root))
+
+        def top(r: int) -> int:
+            while root[r] != r:
+                root[r] = r = root[root[r]]
+            return r
+
+        for x, y in in_cell(held, cell):
+            a, b = top(held[x][2]), top(held[y][2])
+            if a != b and overlap(found[x], found[y]) >= needed(len(found[x]), len(found[y])):
+                root[a] = b
+                yield held[x][1], held[y][1]
+
+    numbers = [StructField(c, LongType()) for c in (*CELL_KEY, "part", "name", "root", "n")]
+    asking = written(by_cell(cells, [*numbers, StructField("point", BinaryType())], may_link), "may-link")
+    full = contents(asking.select("name").distinct(), sets, docs, id_col, text_col)
+    return by_cell(asking.join(full, "name"), [StructField("a", LongType()), StructField("b", LongType())], joined)
+
+
+def by_cell(cells: DataFrame, fields: list[StructField], run: Callable[[tuple, list], Iterator[tuple]]) -> DataFrame:
+    """What ``run`` gives for each cell and its entries (part, name, root, n, point and, if there, content) in order of n."""
+    entry = [c for c in ("part", "name", "root", "n", "point", "content") if c in cells.columns]
+    laid = cells.select(*CELL_KEY, *entry).repartition(*CELL_KEY).sortWithinPartitions(*CELL_KEY, "n", "name")
+
+    def each(found: Iterable[tuple]) -> Iterator[tuple]:
         cell, held = None, []
-        for pivot, i, j, *entry in found:
-            if (pivot, i, j) != cell:
-                yield from in_cell(held, cell)
-                cell, held = (pivot, i, j), []
-            held.append(entry)
-        yield from in_cell(held, cell)
+        for row in found:
+            if row[:3] != cell:
+                yield from run(cell, held)
+                cell, held = row[:3], []
+            held.append(row[3:])
+        yield from run(cell, held)
 
-    ends = [StructField("a", LongType()), StructField("b", LongType())]
-    return map_rows(cells.select("pivot", "i", "j", "part", "name", "root", "n", "point"), ends, run)
+    return map_rows(laid, fields, each)
 
 
 def in_cell(held: list, cell) -> Iterator[tuple]:
-    """Pairs of a cell whose entries (part, name, root, n, point) are in order of n; in a cell of two parts, those across.
+    """Positions of the pairs of a cell, of different components and with a bound that suffices; its entries begin with part, name, root, n and point and are
+    in order of n. In a cell of two parts, the pairs across.
 
     A size class is searched for its own sets and for those of the class below, whose coarser groups both then have.
     """
     if len(held) < 2:
         return
-    part, name, root, n = (np.array([e[k] for e in held], np.int64) for k in range(4))
+    part, root, n = (np.array([e[k] for e in held], np.int64) for k in (0, 2, 3))
     level = np.array([size_class(int(x)) for x in n])
     across = cell[1] != cell[2]
     for upper in np.unique(level):
@@ -356,7 +402,7 @@ def in_cell(held: list, cell) -> Iterator[tuple]:
                 if across:
                     found = found[part[found] != part[x]]
                 for y in found:
-                    yield int(name[x]), int(name[y])
+                    yield int(x), int(y)
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,8 +417,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shared = kept.where("n is null").select("name", "pivot").distinct()
     shared = written(shared, "pivots")
     links = written(verified(shared.select(F.col("name").alias("a"), F.col("pivot").alias("b")), sets, docs, id_col, text_col), "links-1")
-    rest = written(remaining(shared, components(links), sets), "rest")
-    more = written(verified(rest, sets, docs, id_col, text_col), "links-2")
+    more = written(remaining(shared, components(links), sets, docs, id_col, text_col), "links-2")
     roots = components(links.unionByName(more))
     grouped = sets.join(roots.toDF("name", "root"), "name", "left").select("name", F.coalesce("root", "name").alias("root"), "id")
     least = grouped.groupBy("root").agg(F.min("id").alias("_least"))

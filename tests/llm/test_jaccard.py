@@ -151,3 +151,24 @@ def test_components(spark):
             parent[high] = low
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_near_copies_apart_from_their_pivot_give_no_pair_each(spark):
+    """Before: all 435 pairs of them left the cells."""
+    from pyspark.sql import functions as F
+    from outcomelens.llm import jaccard
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:5 + 6 * i], f"x{i}", *base[6 + 6 * i:]]) for i in range(30)] + [" ".join(f"p{i}" for i in range(200))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(jaccard.name_of(s), i, len(s), jaccard.point(s)) for i, s in enumerate(jaccard.shingles(t.encode()) for t in texts)]
+    sets = spark.createDataFrame([(name, i, n, bytearray(p)) for name, i, n, p in rows], "name long, id long, n int, point binary")
+    shared = sets.select("name", F.lit(rows[30][0]).alias("pivot"))
+    roots = spark.createDataFrame([], "node long, root long")
+    found = jaccard.remaining(shared, roots, sets, docs, "doc_id", "text").collect()
+    number = {name: i for name, i, _, _ in rows}
+    parent = list(range(31))
+    for a, b in found:
+        a, b = number[a], number[b]
+        assert jaccard.overlap(jaccard.shingles(texts[a].encode()), jaccard.shingles(texts[b].encode())) >= jaccard.needed(rows[a][2], rows[b][2])
+        parent = [parent[b] if p == parent[a] else p for p in parent]
+    assert len(found) == 29 and len(set(parent[:30])) == 1 and parent[30] == 30
