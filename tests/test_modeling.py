@@ -110,3 +110,24 @@ def test_held_caches_spreads_and_releases(parts):
     with M.held(one, spread_by=["k"]) as (spread,):
         used = spread.select(F.spark_partition_id().alias("p")).distinct().count()
         assert used > 1 and spread.count() == one.count()
+
+
+def test_features_are_fitted_once_for_all_models(spark, monkeypatch):
+    calls = []
+    stages = M.feature_stages
+    monkeypatch.setattr(M, "feature_stages", lambda *a, **k: (calls.append(a), stages(*a, **k))[1])
+    rows = spark.range(400).selectExpr("id", "cast(id % 13 as double) x", "if(id % 7 = 0, null, cast(id % 5 as double)) y", "if(id % 3 = 0, 'a', 'b') kind",
+                                       "1.0 + id % 13 + id % 5 as price", "1.0 + id % 2 as w")
+    specs = M.regressor_specs("price", lr_iter=5, trees=3, forest_depth=3, boost_iter=3, boost_depth=2)
+    specs[0].estimator.setWeightCol("w")
+    result = M.compare_regressors(rows, rows, ["x", "y"], ["kind"], "price", specs, spread_by=["id"])
+    assert len(calls) == 1  # before: one of each model
+    whole = {r["model"]: r["rmse"] for r in result.metrics.collect()}
+    for spec in specs:  # the models take raw rows, and are those of a pipeline fitted as a whole
+        with M.held(rows, spread_by=["id"]) as (cached,):
+            again = M.fit_spec(spec, cached, ["x", "y"], ["kind"], impute=True)
+        for model in (result.models[spec.name], again):
+            assert M.regression_metrics(model.transform(rows), "price").first()["rmse"] == pytest.approx(whole[spec.name], rel=1e-9)
+        assert [type(s) for s in again.stages] == [type(s) for s in result.models[spec.name].stages]
+    rolled = M.importance_rollup(result.models["Linear Regression"], rows, ["x", "y"], ["kind"])
+    assert {r["feature"] for r in rolled.collect()} == {"x", "y", "kind"}
