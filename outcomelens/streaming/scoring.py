@@ -100,12 +100,15 @@ def write_batch(
         run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
         if not committed(spark, out).where((F.col("run") == run) & (F.col("batch_id") == batch_id)).isEmpty():
             return
-        batch = parse(batch, schema, required).persist()  # parsed once for both outputs
+        # parsed once for both outputs: plain columns, far cheaper to keep than a record, and the text of what goes to the quarantine only
+        fields = [F.col("data").getField(f.name).alias(f"_f{i}") for i, f in enumerate(schema.fields)]
+        batch = parse(batch, schema, required).select("valid", F.when(~F.col("valid"), F.col("value")).alias("value"), *fields).persist()
         try:
             if batch.isEmpty():
                 return
             place = f"run={run}/batch_id={batch_id}"
-            records, rejected = split_valid(batch, schema)
+            records = batch.filter("valid").select(*[F.col(f"_f{i}").alias(f.name) for i, f in enumerate(schema.fields)])
+            rejected = batch.filter("NOT valid").select("value")
             score(records, model).write.mode("overwrite").parquet(f"{out}/{place}")
             rejected.write.mode("overwrite").parquet(f"{quarantine}/{place}")
             counts = [tuple(spark.read.parquet(f"{folder}/{place}").count() for folder in (out, quarantine))]  # from the files' footers

@@ -168,3 +168,19 @@ def test_an_idle_stream_stops_and_failures_are_raised(spark, model, tmp_path):
     failing = Failing()
     with pytest.raises(Exception, match="no room"):
         failing.wait(start(failing))
+
+
+def test_a_batch_keeps_plain_columns_and_only_bad_texts(spark, model, rows, tmp_path, monkeypatch):
+    messages = spark.createDataFrame([(m,) for m in GOOD + BAD], "value string")
+    kept, persist = [], type(messages).persist
+
+    def looking(df, *args):
+        kept.append((df.schema, df.where("valid and value is not null").count()))
+        return persist(df, *args)
+
+    monkeypatch.setattr(type(messages), "persist", looking)
+    write_batch(SCHEMA, model, f"{tmp_path}/out", f"{tmp_path}/bad", ["k"])(messages, 0)
+    (schema, texts), = kept
+    assert texts == 0 and not any(isinstance(f.dataType, T.StructType) for f in schema)  # before: all texts, and records
+    assert rows(spark.read.parquet(f"{tmp_path}/out").select("k", "x", "kind")) == [(1, 0.5, "a"), (2, 0.25, None), (3, 1.0, "b")]
+    assert rows(spark.read.parquet(f"{tmp_path}/bad").select("value")) == sorted([(m,) for m in BAD], key=repr)
