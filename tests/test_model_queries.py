@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 
-from outcomelens.operators import scoring
+from outcomelens.operators import modeling, scoring
 from outcomelens.plans import QUERIES
 from outcomelens.plans import models as P
 
@@ -47,3 +47,21 @@ def test_ranks_may_follow_differences_in_the_seventh_digit(spark):
     assert not all(r["rank_follows"] for r in P._sound(swapped, "s", 8).collect())
     doubled = ranked.withColumn("rank", ranked["rank"] * 2)
     assert not any(r["rank_follows"] for r in P._sound(doubled, "s", 8).collect())
+
+
+def test_regressors_are_compared_with_their_whole_settings(spark, lines, monkeypatch):
+    taken = []
+
+    def compare(train, test, numeric, categorical, target, specs, spread_by=()):
+        taken.extend(spec.estimator for spec in specs)
+        small = modeling.regressor_specs(target, lr_iter=5, trees=2, forest_depth=2, boost_iter=2, boost_depth=2)
+        return whole(train, test, numeric, categorical, target, small, spread_by)
+
+    whole = modeling.compare_regressors
+    monkeypatch.setattr(modeling, "compare_regressors", compare)
+    found = {r["model"]: r["near_best"] for r in QUERIES["train_regressors"](spark, lines).collect()}
+    linear, forest, boosted = taken
+    assert (linear.getMaxIter(), linear.getRegParam()) == (60, 0.01)  # before: 15 iterations
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getSubsamplingRate()) == (100, 8, 1.0)  # before: 5 trees, 4 deep
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize(), boosted.getSubsamplingRate()) == (60, 5, 0.05, 1.0)  # before: 5, 3, 0.3
+    assert not found["Random Forest Regressor"] and not found["GBTRegressor"]  # what was fitted here is small, and the query says so
